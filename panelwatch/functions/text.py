@@ -21,9 +21,12 @@ PAREN_COSTS = r"^([\d,.]+)\s*\(([\d,.]+)\)$"
 TIGHT_MONTH_TEXT = r"^(0?[1-9]|1[0-2])/\d{4}$"
 
 
+WHITESPACE = " \t\n\r\f\x0b\xa0"
+
+
 def strip(text: Column) -> Column:
-    """Trim every kind of leading and trailing whitespace."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim every kind of leading and trailing whitespace (no regular expression)."""
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def clean_text(text: Column) -> Column:

@@ -226,22 +226,22 @@ def schedule_candidates(spark, folder):
     return label_ops.schedule_candidates(supplier_panel(spark, folder), "2022-03")
 
 
-_MONTHS = ["2021-12", "2022-01", "2022-02", "2022-03", "2022-04"]
+_MONTHS = ["2025-08", "2025-09", "2025-10", "2025-11", "2025-12"]
 _EVENTS = f"""events AS (
   SELECT * FROM (
     SELECT *, lag(revised_end) OVER w AS previous_end, lag(report_month) OVER w AS previous_month
     FROM typed WHERE traceable WINDOW w AS (PARTITION BY identity_key ORDER BY month_number))
-  WHERE report_month = '2022-03' AND revised_end > previous_end)"""
+  WHERE report_month = '2025-11' AND revised_end > previous_end)"""
 _EVENT_COLUMNS = f"""project_code, e.identity_key, project_name, previous_month AS prediction_month,
   {month_text('previous_end')} AS cutoff_target, {month_text('revised_end')} AS future_target,
-  '2022-03' AS target_change_month, revised_end - previous_end AS shift_months,
+  '2025-11' AS target_change_month, revised_end - previous_end AS shift_months,
   original_doc AS original_end_date, revised_doc AS revised_end_date, source_file, source_page, source_section,
   1 AS label_value"""
 
 
-@query("transition_events", with_(f"SELECT {_EVENT_COLUMNS} FROM events e", SUPPLIER, _EVENTS))
+@query("transition_events", with_(f"SELECT {_EVENT_COLUMNS} FROM events e", CUSTOMER, _EVENTS))
 def transition_events(spark, folder):
-    return label_ops.transition_events(supplier_panel(spark, folder), "2022-03")
+    return label_ops.transition_events(customer_panel(spark, folder), "2025-11")
 
 
 def _at(month: str) -> str:
@@ -253,11 +253,11 @@ def _at(month: str) -> str:
 
 @query(
     "transition_timeline",
-    with_(f"SELECT {_EVENT_COLUMNS}, {', '.join(_at(m) for m in _MONTHS)} FROM events e", SUPPLIER, _EVENTS),
+    with_(f"SELECT {_EVENT_COLUMNS}, {', '.join(_at(m) for m in _MONTHS)} FROM events e", CUSTOMER, _EVENTS),
 )
 def transition_timeline(spark, folder):
-    panel = supplier_panel(spark, folder)
-    events = label_ops.transition_events(panel, "2022-03")
+    panel = customer_panel(spark, folder)
+    events = label_ops.transition_events(panel, "2025-11")
     return label_ops.with_timeline_columns(events, panel, _MONTHS)
 
 
@@ -266,21 +266,21 @@ def transition_timeline(spark, folder):
     with_(
         """, review AS (
              SELECT identity_key, count(*) AS earlier_rows, max(source_section) AS reviewed_section
-             FROM typed WHERE traceable AND report_month < '2021-01' AND sl_no % 2 = 0 GROUP BY identity_key)
+             FROM typed WHERE traceable AND report_month < '2023-01' AND sl_no % 2 = 0 GROUP BY identity_key)
            SELECT e.identity_key, revised_end - previous_end AS shift_months, earlier_rows, reviewed_section
            FROM events e LEFT JOIN review USING (identity_key)""",
-        SUPPLIER, _EVENTS,
+        CUSTOMER, _EVENTS,
     ),
 )
 def review_carry_over(spark, folder):
-    panel = supplier_panel(spark, folder)
+    panel = customer_panel(spark, folder)
     review = (
         traceable(panel)
-        .where((F.col("report_month") < "2021-01") & (F.col("sl_no") % 2 == 0))
+        .where((F.col("report_month") < "2023-01") & (F.col("sl_no") % 2 == 0))
         .groupBy("identity_key")
         .agg(F.count("*").alias("earlier_rows"), F.max("source_section").alias("reviewed_section"))
     )
-    events = label_ops.transition_events(panel, "2022-03").select("identity_key", "shift_months")
+    events = label_ops.transition_events(panel, "2025-11").select("identity_key", "shift_months")
     return label_ops.with_review_columns(events, review, ["earlier_rows", "reviewed_section"])
 
 
@@ -375,18 +375,18 @@ def holdout_separation(spark, folder):
     "endpoint_matching",
     with_(
         f""", incoming AS (
-              SELECT * FROM typed WHERE report_month = '2026-08'
-              UNION ALL SELECT * FROM typed WHERE report_month = '2026-08' AND sl_no % 7 = 3),
+              SELECT * FROM typed WHERE report_month = '2026-07'
+              UNION ALL SELECT * FROM typed WHERE report_month = '2026-07' AND sl_no % 7 = 3),
             dup AS (SELECT identity_key, count(*) AS n FROM incoming GROUP BY 1 HAVING count(*) > 1),
             clean AS (SELECT * FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM dup d WHERE d.identity_key = i.identity_key)),
             ids AS (SELECT DISTINCT identity_key FROM clean WHERE traceable),
             cut AS (SELECT t.*, ids.identity_key IS NOT NULL AS found FROM typed t LEFT JOIN ids USING (identity_key)
-                    WHERE report_month = '2026-05'),
-            base AS (SELECT * FROM typed WHERE report_month < '2026-08' UNION ALL SELECT * FROM clean),
+                    WHERE report_month = '2026-04'),
+            base AS (SELECT * FROM typed WHERE report_month < '2026-07' UNION ALL SELECT * FROM clean),
             lab AS (SELECT a.identity_key, (SELECT max(b.effective_end) FROM base b WHERE b.identity_key = a.identity_key
                         AND b.month_number BETWEEN a.month_number + 1 AND a.month_number + 3) > a.effective_end AS later
                     FROM base a JOIN base e ON e.identity_key = a.identity_key AND e.month_number = a.month_number + 3
-                    WHERE a.traceable AND a.report_month = '2026-05'
+                    WHERE a.traceable AND a.report_month = '2026-04'
                       AND a.effective_end IS NOT NULL AND e.effective_end IS NOT NULL)
            SELECT CAST(count(*) AS BIGINT) AS cutoff_observations, count(DISTINCT identity_key) AS cutoff_projects,
              count(DISTINCT CASE WHEN traceable AND found THEN identity_key END) AS matched_projects,
@@ -404,10 +404,10 @@ def holdout_separation(spark, folder):
 )
 def endpoint_matching(spark, folder):
     panel = customer_panel(spark, folder)
-    existing = panel.where(F.col("report_month") < "2026-08")
-    august = panel.where(F.col("report_month") == "2026-08")
+    existing = panel.where(F.col("report_month") < "2026-07")
+    august = panel.where(F.col("report_month") == "2026-07")
     incoming = august.unionByName(august.where(F.col("sl_no") % 7 == 3))
-    return history.endpoint_matching(existing, incoming, "2026-05")
+    return history.endpoint_matching(existing, incoming, "2026-04")
 
 
 _ID_BASE = """, ids AS (SELECT CASE WHEN sl_no % 50 = 7 THEN 'Q:' || sl_no ELSE identity_key END AS identity_key
@@ -451,14 +451,16 @@ def reporting_period_check(spark, folder):
 @query(
     "incoming_batch_gate",
     with_(
-        """, b AS (SELECT * FROM typed WHERE report_month = '2026-08')
+        """, b AS (SELECT * FROM typed WHERE report_month = '2026-05')
         SELECT true AS schema_valid, '' AS missing_columns, '' AS unexpected_columns,
           count(*) FILTER (WHERE identity_key IS NULL) AS missing_ids, 0::BIGINT AS malformed_ids,
           0::BIGINT AS duplicate_project_rows, 0::BIGINT AS duplicate_project_ids, true AS reporting_period_valid,
           0::BIGINT AS duplicate_project_month_rows,
           count(*) FILTER (WHERE date_of_approval = 'N.A.') AS malformed_dates,
           count(*) FILTER (WHERE expenditure < 0) AS invalid_numeric_values,
-          0::BIGINT AS impossible_progress_values, 'INVALID' AS validation_status
+          0::BIGINT AS impossible_progress_values,
+          CASE WHEN count(*) FILTER (WHERE date_of_approval = 'N.A.' OR expenditure < 0) = 0 THEN 'VALID' ELSE 'INVALID' END
+            AS validation_status
         FROM b""",
         CUSTOMER,
     ),
@@ -467,8 +469,8 @@ def incoming_batch_gate(spark, folder):
     from ..operators.identity import enrich_panel
     from ..sources.panel import customer_month
 
-    batch = enrich_panel(customer_month(spark, folder)).where(F.col("report_month") == "2026-08")
-    return history.batch_gate(batch, "2026-08")
+    batch = enrich_panel(customer_month(spark, folder)).where(F.col("report_month") == "2026-05")
+    return history.batch_gate(batch, "2026-05")
 
 
 _SPLIT = f"""parts AS (

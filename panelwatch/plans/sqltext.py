@@ -77,7 +77,8 @@ SUPPLIER_FACTS = """facts AS (
          CAST(floor(sum(l_quantity) / 10) AS INTEGER) AS units,
          CASE WHEN count(*) > 1
               THEN round(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) * 100 / count(*), 2) END AS progress,
-         max(p_type) AS sector, max(p_brand) AS agency
+         """ + SECTOR_LIST + """[max(p_size) % """ + str(len(SECTORS)) + """ + 1] AS sector,
+         'Brand#' || CAST(max(CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER)) AS VARCHAR) AS agency
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
   GROUP BY 1, 2),
 places AS (
@@ -92,7 +93,7 @@ CUSTOMER_FACTS = """facts AS (
                   ELSE o_totalprice::DECIMAL(18,2) END) AS signed_amount,
          CAST(floor(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 10000) AS INTEGER) AS units,
          round(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) * 100 / count(*), 2) AS progress,
-         max(o_orderpriority) AS agency
+         'Priority-' || CAST(max(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS VARCHAR) AS agency
   FROM orders GROUP BY 1, 2),
 places AS (
   SELECT c_custkey AS entity, c_name AS entity_name, n_name AS state, r_name AS ministry,

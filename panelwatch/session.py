@@ -18,6 +18,7 @@ def local_session(app: str = "panelwatch", cores: str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PANELWATCH_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )

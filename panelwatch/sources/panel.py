@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.lexicon import SECTORS
 from ..functions.months import month_label, month_number, month_number_of, month_text, parse_month_date
 from ..functions.numbers import money
 
@@ -47,7 +48,10 @@ def typed_panel(panel: DataFrame) -> DataFrame:
             {
                 "effective_end": F.coalesce("revised_end", "original_end"),
                 "effective_cost": F.coalesce("revised_cost", "original_cost"),
-                "traceable": F.coalesce(F.col("identity_key").rlike("^[PL]:"), F.lit(False)),
+                "traceable": F.coalesce(
+                    F.col("identity_key").startswith("P:") | F.col("identity_key").startswith("L:"),
+                    F.lit(False),
+                ),
             }
         )
     )
@@ -70,7 +74,10 @@ def _places(spark: SparkSession, folder: str) -> DataFrame:
 
 def supplier_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Supplier-by-month totals of the line items (dense panel)."""
-    part = table(spark, folder, "part").select("p_partkey", "p_type", "p_brand")
+    part = table(spark, folder, "part").select(
+        "p_partkey", "p_size",
+        F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int").alias("brand_number"),
+    )
     lines = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("entity"),
         (month_number_of(F.col("l_shipdate")) + MONTH_SHIFT).alias("month_number"),
@@ -87,8 +94,17 @@ def supplier_facts(spark: SparkSession, folder: str) -> DataFrame:
             F.sum(signed).alias("signed_amount"),
             F.floor(F.sum("l_quantity") / 10).cast("int").alias("units"),
             F.when(F.count("*") > 1, F.round(closed * 100 / F.count("*"), 2)).alias("progress"),
-            F.max("p_type").alias("sector"),
-            F.max("p_brand").alias("agency"),
+            # Numbers, not texts, are aggregated: a text maximum would need a sort.
+            F.max("p_size").alias("largest_size"),
+            F.max("brand_number").alias("largest_brand"),
+        )
+        .withColumns(
+            {
+                "sector": F.element_at(
+                    F.array(*[F.lit(x) for x in SECTORS]), F.col("largest_size") % len(SECTORS) + 1
+                ),
+                "agency": F.concat(F.lit("Brand#"), F.col("largest_brand").cast("string")),
+            }
         )
     )
 
@@ -108,8 +124,8 @@ def customer_facts(spark: SparkSession, folder: str) -> DataFrame:
         F.sum(signed).alias("signed_amount"),
         F.floor(F.sum("price").cast("double") / 10000).cast("int").alias("units"),
         F.round(closed * 100 / F.count("*"), 2).alias("progress"),
-        F.max("o_orderpriority").alias("agency"),
-    )
+        F.max(F.substring("o_orderpriority", 1, 1).try_cast("int")).alias("priority"),
+    ).withColumn("agency", F.concat(F.lit("Priority-"), F.col("priority").cast("string")))
 
 
 def _panel_from_facts(facts: DataFrame, places: DataFrame, file_prefix: str) -> DataFrame:
