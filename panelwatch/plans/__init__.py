@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES, Query
 
-GROUPS = ("feature_queries",)
+GROUPS = ("parsing_queries", "report_queries", "quality_queries", "feature_queries")
 
 
 def _load() -> None:
