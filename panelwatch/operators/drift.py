@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import ratio_or_null
@@ -150,35 +154,47 @@ def missing_and_constant(frame: DataFrame, features: list[str]) -> DataFrame:
 
 
 def correlations(frame: DataFrame, features: list[str]) -> DataFrame:
-    """Pairwise-complete correlation of every feature pair, in one aggregation row."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-
-    def both(a: str, b: str, pick: str) -> Column:
-        known = F.col(a).isNotNull() & F.col(b).isNotNull()
-        return F.when(known, F.col(pick).cast("double"))
+    """Pairwise-complete correlation of every feature pair; a constant side gives null.
 
-    row = frame.agg(
-        *[
-            c
-            for i, (a, b) in enumerate(pairs)
-            for c in (
-                F.corr(both(a, b, a), both(a, b, b)).alias(f"c{i}"),
-                F.stddev_pop(both(a, b, a)).alias(f"a{i}"),
-                F.stddev_pop(both(a, b, b)).alias(f"b{i}"),
-            )
-        ]
+    Each task turns its batches into one co-moment matrix per pair of features, so only
+    a few hundred rows per task are shuffled, whatever the number of rows scanned.
+    """
+    upper = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = batch.to_numpy(dtype=float)
+            known = ~np.isnan(values)
+            columns = []
+            for i, j in upper:
+                both = known[:, i] & known[:, j]
+                n = int(both.sum())
+                if n == 0:
+                    continue
+                x, y = values[both, i], values[both, j]
+                mx, my = x.mean(), y.mean()
+                dx, dy = x - mx, y - my
+                columns.append((i, j, n, mx, my, float(dx @ dx), float(dy @ dy), float(dx @ dy)))
+            yield pd.DataFrame(columns, columns=["i", "j", "n", "mx", "my", "xx", "yy", "xy"])
+
+    schema = "i int, j int, n long, mx double, my double, xx double, yy double, xy double"
+    partial = frame.select([F.col(f).cast("double").alias(f) for f in features]).mapInPandas(moments, schema)
+    n, mx, my = F.col("n"), F.col("mx"), F.col("my")
+
+    def combined(within: str, left: Column, right: Column) -> Column:
+        return F.sum(within) + F.sum(n * left * right) - F.sum(n * left) * F.sum(n * right) / F.sum(n)
+
+    names = F.array(*[F.lit(f) for f in features])
+    merged = partial.groupBy("i", "j").agg(
+        combined("xx", mx, mx).alias("xx"), combined("yy", my, my).alias("yy"), combined("xy", mx, my).alias("xy"),
+        F.sum(n * mx * mx).alias("scale_x"), F.sum(n * my * my).alias("scale_y"),
     )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                # A constant side has no correlation.
-                F.when((F.col(f"a{i}") > 0) & (F.col(f"b{i}") > 0), F.col(f"c{i}")).alias("correlation"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
+    # A spread below rounding error of the scale is a constant column.
+    spread = (F.col("xx") > F.col("scale_x") * 1e-14) & (F.col("yy") > F.col("scale_y") * 1e-14)
+    return merged.select(
+        names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"),
+        F.when(spread, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation"),
     )
-    return row.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def redundant_pairs(frame: DataFrame, features: list[str]) -> DataFrame:

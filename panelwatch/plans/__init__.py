@@ -6,7 +6,9 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES, Query
 
-GROUPS = ("parsing_queries", "report_queries", "quality_queries", "feature_queries")
+GROUPS = (
+    "parsing_queries", "report_queries", "quality_queries", "feature_queries", "metric_queries",
+)
 
 
 def _load() -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.identity import with_identity
 from ..operators.labels import supervised_table
 from ..operators.portfolio import snapshots_from_panel
+from ..session import written
 from ..sources.panel import customer_month, supplier_month, typed_panel
 
 TARGET = "future_schedule_later_3m"
@@ -65,6 +66,11 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """The prediction table written once, for queries that scan it several times."""
+    return written(predictions(spark, folder), "predictions")
+
+
 def baseline_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the first model only."""
     return predictions(spark, folder).where(F.col("model") == BASELINE)

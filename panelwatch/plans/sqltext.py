@@ -264,8 +264,8 @@ _ENTITY = "CAST(regexp_replace(identity_key, '[^0-9]', '', 'g') AS BIGINT)"
 
 PREDICTIONS = f"""scored AS (
   SELECT *, CAST(substr(prediction_month, 1, 4) AS INTEGER) - 2019 AS fold,
-         (({_ENTITY} * 7919 + month_number * 104729) % 10007)::DOUBLE / 10007 AS u1,
-         (({_ENTITY} * 6271 + month_number * 15485863) % 10009)::DOUBLE / 10009 AS u2
+         (({_ENTITY} * 7919 + month_number::BIGINT * 104729) % 10007)::DOUBLE / 10007 AS u1,
+         (({_ENTITY} * 6271 + month_number::BIGINT * 15485863) % 10009)::DOUBLE / 10009 AS u2
   FROM supervised),
 predictions AS (
   SELECT *, 'BASELINE' AS model,

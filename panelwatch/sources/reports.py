@@ -272,43 +272,41 @@ def report_files_from_panel(panel: DataFrame) -> DataFrame:
     one file do not grow with the panel. Some files have an unknown type or no month.
     """
     effective = F.coalesce("revised_cost", "original_cost")
-    totals = [
-        F.count("*").alias("n"),
-        F.sum(F.col("original_cost").cast("decimal(18,2)")).alias("original"),
-        F.sum(effective.cast("decimal(18,2)")).alias("revised"),
-        F.sum(F.col("expenditure").cast("decimal(18,2)")).alias("spent"),
-    ]
-    parts = []
-    for dataset_type, title, key in (
-        ("State-Wise-Report", "State Wise Details", F.col("state")),
-        ("Sector-Wise-Report", "Sector Wise Details", F.col("sector")),
-        ("Physical-Progress-Report", "Physical Progress", progress_range(F.col("physical_progress"))),
-    ):
-        line = _quoted(
-            F.col("n").cast("string"), F.col("key"), F.col("n").cast("string"),
-            F.concat(_amount(F.col("original")), F.lit(" ("), _amount(F.col("revised")), F.lit(")")),
-            _amount(F.col("spent")),
-        )
-        parts.append(
-            panel.withColumn("key", key)
-            .where(F.col("key").isNotNull())
-            .groupBy("report_month", "key")
-            .agg(*totals)
-            .select(
-                "report_month", F.lit(dataset_type).alias("dataset_type"), F.lit(title).alias("title"),
-                "key", line.alias("line"),
+    kinds = F.array(
+        *[
+            F.struct(
+                F.lit(dataset_type).alias("dataset_type"), F.lit(title).alias("title"), key.alias("key")
+            )
+            for dataset_type, title, key in (
+                ("State-Wise-Report", "State Wise Details", F.col("state")),
+                ("Sector-Wise-Report", "Sector Wise Details", F.col("sector")),
+                (
+                    "Physical-Progress-Report", "Physical Progress",
+                    progress_range(F.col("physical_progress")),
+                ),
+                ("Cost-Wise-Report", "Cost Wise Details", F.lit("")),
             )
+        ]
+    )
+    totals = (
+        panel.withColumn("kind", F.explode(F.filter(kinds, lambda k: k["key"].isNotNull())))
+        .groupBy("report_month", "kind.dataset_type", "kind.title", "kind.key")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.col("original_cost").cast("decimal(18,2)")).alias("original"),
+            F.sum(effective.cast("decimal(18,2)")).alias("revised"),
+            F.sum(F.col("expenditure").cast("decimal(18,2)")).alias("spent"),
         )
-    national = panel.groupBy("report_month").agg(*totals).select(
-        "report_month", F.lit("Cost-Wise-Report").alias("dataset_type"),
-        F.lit("Cost Wise Details").alias("title"), F.lit("").alias("key"),
-        _quoted(
-            F.lit(""), _rupees(F.col("original")), _rupees(F.col("revised")), _rupees(F.abs(F.col("spent")))
-        ).alias("line"),
     )
-    lines = national
-    for part in parts:
-        lines = lines.unionByName(part)
+    national = _quoted(
+        F.lit(""), _rupees(F.col("original")), _rupees(F.col("revised")), _rupees(F.abs(F.col("spent")))
+    )
+    keyed = _quoted(
+        F.col("n").cast("string"), F.col("key"), F.col("n").cast("string"),
+        F.concat(_amount(F.col("original")), F.lit(" ("), _amount(F.col("revised")), F.lit(")")),
+        _amount(F.col("spent")),
+    )
+    lines = totals.withColumn("line", F.when(F.col("key") == "", national).otherwise(keyed))
     content = F.concat_ws(
         "\n",
         F.concat(F.lit('"'), F.col("title"), F.lit('"')), F.lit(""),
