@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import ORACLES, QUERIES, Query
 
 GROUPS = (
-    "parsing_queries", "report_queries", "quality_queries", "feature_queries", "metric_queries",
+    "parsing_queries", "report_queries", "text_queries", "quality_queries", "feature_queries", "metric_queries",
     "portfolio_queries",
 )
 
