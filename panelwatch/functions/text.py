@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -18,6 +19,8 @@ from .numbers import MISSING_MARKERS, as_number
 CURRENCY_NOISE = r"[₹Rs.\s,]+"
 CURRENCY_NOISE_KEEP_POINT = r"₹|Rs\.?|[\s,]+"
 PAREN_COSTS = r"^([\d,.]+)\s*\(([\d,.]+)\)$"
+TOKEN_NUMBER = r"[+-]?,*(?:\d[\d,]*(?:\.[\d,]*)?|\.,*\d[\d,]*)(?:[eE][+-]?\d+)?"
+TRAILING_RUN = rf"(?:^|\s)({TOKEN_NUMBER}(?:\s+{TOKEN_NUMBER})*)\s*$"
 TIGHT_MONTH_TEXT = r"^(0?[1-9]|1[0-2])/\d{4}$"
 
 
@@ -69,10 +72,30 @@ def parse_paren_costs(text: Column) -> Column:
     )
 
 
+def any_of(words: Iterable[str]) -> str:
+    """Regular expression matching any of the words literally, longest first."""
+    return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
+def _overlap(words: list[str]) -> bool:
+    """Some word ends with the beginning of another word."""
+    return any(
+        a[i:] and b.startswith(a[i:]) for a in words for b in words for i in range(1, len(a))
+    )
+
+
 def longest_match(text: Column, words: Iterable[str] = STATES) -> Column:
-    """Longest dictionary word contained in the text, ties alphabetical, else null."""
+    """Longest dictionary word contained in the text, ties alphabetical, else null.
+
+    One pass of an alternation finds every occurrence when no two words can overlap in a
+    text; otherwise the words are tried one by one, longest first.
+    """
     ordered = sorted(words, key=lambda w: (-len(w), w))
-    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in ordered])
+    if _overlap(ordered):
+        return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in ordered])
+    found = F.regexp_extract_all(text, F.lit(f"({any_of(ordered)})"), F.lit(1))
+    ranked = F.transform(found, lambda w: F.struct((-F.length(w)).alias("rank"), w.alias("word")))
+    return F.array_min(ranked)["word"]
 
 
 def canonical_state(label: Column) -> Column:
@@ -86,31 +109,23 @@ def extract_month_dates(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({MONTH_DATE_TOKEN})"), F.lit(1))
 
 
-def tokens(text: Column) -> Column:
-    """Whitespace-separated tokens of the trimmed text."""
-    return F.filter(F.split(strip(text), r"\s+"), lambda t: t != "")
-
-
-def token_number(token: Column) -> Column:
-    """Number of a single token, thousands separators allowed."""
-    return as_number(F.regexp_replace(token, ",", ""))
-
-
 def trailing_numbers(text: Column) -> Column:
     """Maximal run of numbers at the end of the text, in reading order."""
-    parts = tokens(text)
-    breaks = F.transform(parts, lambda t, i: F.when(token_number(t).isNull(), i + 1))
-    start = F.coalesce(F.array_max(breaks), F.lit(0))
-    return F.transform(
-        F.slice(parts, start + 1, F.greatest(F.size(parts) - start, F.lit(0))), token_number
+    run = F.regexp_extract(text, TRAILING_RUN, 1)
+    numbers = F.transform(
+        F.split(run, r"\s+"), lambda t: F.regexp_replace(t, ",", "").try_cast("double")
     )
+    return F.when(run != "", numbers).otherwise(F.array().cast("array<double>"))
+
+
+def has_trailing_numbers(text: Column, count: int) -> Column:
+    """The text ends with at least ``count`` numbers."""
+    return text.rlike(r"(?:^|\s)" + r"\s+".join([TOKEN_NUMBER] * count) + r"\s*$")
 
 
 def without_trailing_numbers(text: Column) -> Column:
     """The text with its trailing run of numbers removed, tokens joined by one space."""
-    parts = tokens(text)
-    kept = F.size(parts) - F.size(trailing_numbers(text))
-    return F.array_join(F.slice(parts, 1, kept), " ")
+    return collapse_whitespace(F.regexp_replace(text, TRAILING_RUN, ""))
 
 
 def is_report_date(text: Column) -> Column:

@@ -11,10 +11,11 @@ from ..functions.lexicon import (
     MONTH_DATE_TOKEN,
     PRIMARY_CODE_LINE,
     SERIAL_LINE,
+    STATES,
     TOTAL_LINE,
     TRIPLE_PAREN_LINE,
 )
-from ..functions.text import longest_match
+from ..functions.text import any_of
 from .lines import (
     HIGHEST_PLAIN_SERIAL,
     SECTION_TITLE,
@@ -48,7 +49,7 @@ def _line_counts(pages: DataFrame) -> DataFrame:
     total = line.rlike(TOTAL_LINE)
     serial = (
         line.rlike(SERIAL_LINE)
-        & longest_match(rest).isNotNull()
+        & rest.rlike(any_of(STATES))
         & rest.rlike(r"\d+\.?\d*\s*$")
         & (serial_number(line) <= HIGHEST_PLAIN_SERIAL)
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lexicon import (
@@ -17,9 +15,10 @@ from ..functions.lexicon import (
     PAGE_NUMBER,
     SECTORS,
     SERIAL_LINE,
+    STATES,
     TOTAL_LINE,
 )
-from ..functions.text import longest_match, strip, trailing_numbers
+from ..functions.text import any_of, has_trailing_numbers, strip
 from .prefix import carried_forward
 
 PAGES_PER_BLOCK = 1024
@@ -36,23 +35,15 @@ def page_lines(pages: DataFrame) -> DataFrame:
     ).select(*others, "position", strip(F.col("raw")).alias("line"))
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
 def is_skip_line(line: Column, boilerplate: tuple[str, ...] = BOILERPLATE) -> Column:
     """Blank, page number, or banner and footer text."""
-    return _any(
-        [line == "", line.rlike(PAGE_NUMBER)] + [F.contains(line, F.lit(x)) for x in boilerplate]
-    )
+    return (line == "") | line.rlike(f"{PAGE_NUMBER}|{any_of(boilerplate)}")
 
 
 def is_column_header(line: Column) -> Column:
     """A repeated table column header or a fragment of one."""
-    return _any(
-        [line.startswith(x) for x in COLUMN_HEADER_STARTS]
-        + [F.contains(line, F.lit(x)) for x in COLUMN_HEADER_PARTS]
-        + [line.rlike(COLUMN_HEADER_PATTERN)]
+    return line.rlike(
+        f"^(?:{any_of(COLUMN_HEADER_STARTS)})|{any_of(COLUMN_HEADER_PARTS)}|{COLUMN_HEADER_PATTERN}"
     )
 
 
@@ -89,9 +80,8 @@ def serial_number(line: Column) -> Column:
 def is_serial_candidate(line: Column) -> Column:
     """A serial line: known state and a trailing number, or a low serial and two numbers."""
     rest = F.regexp_extract(line, SERIAL_LINE, 2)
-    numbers = F.size(trailing_numbers(rest))
-    with_state = longest_match(rest).isNotNull() & (numbers >= 1)
-    low_serial = (serial_number(line) <= HIGHEST_PLAIN_SERIAL) & (numbers >= 2)
+    with_state = rest.rlike(any_of(STATES)) & has_trailing_numbers(rest, 1)
+    low_serial = (serial_number(line) <= HIGHEST_PLAIN_SERIAL) & has_trailing_numbers(rest, 2)
     return F.coalesce(line.rlike(SERIAL_LINE) & (with_state | low_serial), F.lit(False))
 
 

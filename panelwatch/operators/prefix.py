@@ -22,6 +22,30 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(renamed, condition, "left").drop(*[f"r__{k}" for k in keys])
 
 
+def _levels(
+    rows: DataFrame, group: list[str], blocks: list[str], finest: dict, latest: bool = False
+) -> list[tuple[list[str], list[str], DataFrame]]:
+    """(level columns, parent columns, summary) per block level, coarsest first.
+
+    Only the finest summary reads the rows; coarser ones are built from the next finer.
+    """
+    summary = rows.groupBy(*group, *blocks).agg(*finest.values())
+    levels = []
+    for depth in range(len(blocks), 0, -1):
+        level = blocks[:depth]
+        if depth < len(blocks):
+            finer = F.col(blocks[depth])
+            if latest:
+                columns = [
+                    F.max_by(F.col(n), F.when(F.col(n).isNotNull(), finer)).alias(n) for n in finest
+                ]
+            else:
+                columns = [F.sum(n).alias(n) for n in finest]
+            summary = summary.groupBy(*group, *level).agg(*columns)
+        levels.append((level, group + blocks[: depth - 1], summary))
+    return levels[::-1]
+
+
 def running_totals(
     rows: DataFrame,
     group: list[str],
@@ -36,10 +60,7 @@ def running_totals(
     """
     direction = F.desc if descending else F.asc
     offsets = None
-    for depth in range(len(blocks)):
-        level = blocks[: depth + 1]
-        parent = group + blocks[:depth]
-        summary = rows.groupBy(*group, *level).agg(*[F.sum(v).alias(v) for v in values])
+    for level, parent, summary in _levels(rows, group, blocks, {v: F.sum(v).alias(v) for v in values}):
         window = (
             Window.partitionBy(*parent)
             .orderBy(direction(level[-1]))
@@ -85,17 +106,13 @@ def carried_forward(
     ``values`` maps each new column to its source column; ``strict`` looks only at
     earlier rows.
     """
-    last_of = {new: F.struct(*[F.col(c) for c in blocks + order]) for new in values}
-
-    def latest(new: str, source: str):
-        position = F.when(F.col(source).isNotNull(), last_of[new])
-        return F.max_by(F.col(source), position).alias(new)
-
+    position = F.struct(*[F.col(c) for c in order])
+    finest = {
+        n: F.max_by(F.col(source), F.when(F.col(source).isNotNull(), position)).alias(n)
+        for n, source in values.items()
+    }
     carried = None
-    for depth in range(len(blocks)):
-        level = blocks[: depth + 1]
-        parent = group + blocks[:depth]
-        summary = rows.groupBy(*group, *level).agg(*[latest(n, s) for n, s in values.items()])
+    for level, parent, summary in _levels(rows, group, blocks, finest, latest=True):
         window = (
             Window.partitionBy(*parent).orderBy(level[-1]).rowsBetween(Window.unboundedPreceding, -1)
         )

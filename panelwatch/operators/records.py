@@ -23,6 +23,7 @@ from ..functions.text import (
     trailing_numbers,
     without_trailing_numbers,
 )
+from ..session import written
 from .lines import serial_number, with_headers
 from .prefix import carried_forward, running_totals
 
@@ -40,29 +41,26 @@ def in_sequence(candidate: Column, previous: Column) -> Column:
 
 
 def accepted_serials(lines: DataFrame, passes: int = 2) -> DataFrame:
-    """Lines with class serial kept only when in sequence, otherwise turned into text.
+    """(file, page, position, serial) of the serial lines that are in sequence.
 
     Continuity is judged against the last serial accepted in the previous pass, which
-    settles isolated outliers such as a chainage at the start of a name line.
+    settles isolated outliers such as a chainage at the start of a name line. Only the
+    serial lines and their positions take part.
     """
-    rows = lines.withColumn(
-        "serial", F.when(F.col("line_class") == "serial", serial_number(F.col("line")))
-    ).withColumn("accepted", F.col("serial"))
+    judged = (
+        lines.where(F.col("line_class") == "serial")
+        .select("file", "block", "page", "position", serial_number(F.col("line")).alias("serial"))
+        .withColumn("accepted", F.col("serial"))
+    )
     for _ in range(passes):
-        candidates = rows.where(F.col("serial").isNotNull()).select(
-            "file", "block", "page", "position", "serial", "accepted"
-        )
-        judged = carried_forward(
-            candidates, ["file"], ["block", "page"], ["position"], {"before": "accepted"}, strict=True
-        ).select(
-            "file", "page", "position",
-            F.when(in_sequence(F.col("serial"), F.col("before")), F.col("serial")).alias("accepted"),
+        judged = (
+            carried_forward(
+                judged, ["file"], ["block", "page"], ["position"], {"before": "accepted"}, strict=True
+            )
+            .withColumn("accepted", F.when(in_sequence(F.col("serial"), F.col("before")), F.col("serial")))
+            .drop("before")
         )
-        rows = rows.drop("accepted").join(judged, ["file", "page", "position"], "left")
-    return rows.withColumn(
-        "line_class",
-        F.when(F.col("serial").isNotNull() & F.col("accepted").isNull(), "text").otherwise(F.col("line_class")),
-    ).drop("serial").withColumnRenamed("accepted", "serial")
+    return judged.where(F.col("accepted").isNotNull()).select("file", "page", "position", "serial")
 
 
 def segmented(lines: DataFrame, check_continuity: bool = True) -> DataFrame:
@@ -72,9 +70,16 @@ def segmented(lines: DataFrame, check_continuity: bool = True) -> DataFrame:
     belongs to it unless a printed total lies between, and parenthetical lines belong to
     the serial they directly follow.
     """
-    rows = with_headers(lines)
+    # Read several times below: written once, so the text is classified only once.
+    rows = written(with_headers(lines), "report-lines")
     if check_continuity:
-        rows = accepted_serials(rows)
+        accepted = written(accepted_serials(rows), "report-serials")
+        rows = rows.join(accepted, ["file", "page", "position"], "left").withColumn(
+            "line_class",
+            F.when((F.col("line_class") == "serial") & F.col("serial").isNull(), "text").otherwise(
+                F.col("line_class")
+            ),
+        )
     else:
         rows = rows.withColumn(
             "serial", F.when(F.col("line_class") == "serial", serial_number(F.col("line")))
@@ -116,11 +121,9 @@ def identifier_pair(groups: Column) -> Column:
     return (F.size(groups) == 2) & (first.isin(*PLACEHOLDERS) | first.rlike(ALTERNATE))
 
 
-def _name_part(line: Column) -> Column:
-    """Name line without its dates, trailing numbers and leading agency."""
-    text = without_trailing_numbers(line)
-    text = strip(F.regexp_replace(text, MONTH_DATE_TOKEN, ""))
-    return F.when(text.startswith("("), F.regexp_extract(text, LEADING_PAREN, 2)).otherwise(text)
+def _after_agency(text: Column) -> Column:
+    """Text behind a leading parenthesised agency, or all of it."""
+    return F.when(text.rlike(LEADING_PAREN), F.regexp_extract(text, LEADING_PAREN, 2)).otherwise(text)
 
 
 def record_fields(lines: DataFrame) -> DataFrame:
@@ -131,49 +134,59 @@ def record_fields(lines: DataFrame) -> DataFrame:
     second value of an identifier pair is neither. A single number on the serial line is
     the progress. Dates in the value line are start and revised completion.
     """
-    line, part = F.col("line"), F.col("part")
-    rest = F.regexp_extract(line, SERIAL_LINE, 2)
-    serial_text = without_trailing_numbers(rest)
-    serial_numbers = trailing_numbers(rest)
-    has_agency = serial_text.rlike(LEADING_PAREN)
-    place = F.when(has_agency, F.regexp_extract(serial_text, LEADING_PAREN, 2)).otherwise(serial_text)
-    count = F.size(serial_numbers)
-    name_dates, name_numbers = extract_month_dates(line), trailing_numbers(line)
-    groups = F.col("groups")
-    value_dates = F.filter(groups, lambda g: g.rlike(f"^{MONTH_DATE_TOKEN}$"))
+    part = F.col("part")
+    on_name, on_serial, on_values = part == "name", part == "serial", part == "values"
+    # What each line holds is worked out once, then picked from below.
+    body = F.when(on_serial, F.regexp_extract("line", SERIAL_LINE, 2)).otherwise(F.col("line"))
+    read = (
+        lines.withColumn("body", F.when(~on_values, body))
+        .withColumns(
+            {
+                "numbers": trailing_numbers(F.col("body")),
+                "bare": without_trailing_numbers(F.col("body")),
+                "dates": F.when(on_name, extract_month_dates(F.col("body"))),
+                "groups": F.when(on_values, _paren_groups(F.col("line"))),
+            }
+        )
+        .withColumns(
+            {
+                "pair": F.coalesce(identifier_pair(F.col("groups")), F.lit(False)),
+                "value_dates": F.filter("groups", lambda g: g.rlike(f"^{MONTH_DATE_TOKEN}$")),
+                "alternates": F.filter("groups", lambda g: g.rlike(ALTERNATE)),
+                "primaries": F.filter("groups", lambda g: g.rlike(PRIMARY)),
+                "agency_text": F.when(
+                    F.col("bare").startswith("("), strip(F.regexp_extract("bare", LEADING_PAREN, 1))
+                ),
+            }
+        )
+    )
+    numbers, groups, values = F.col("numbers"), F.col("groups"), on_values & ~F.col("pair")
     costs = F.filter(
         F.transform(
-            F.filter(
-                groups, lambda g: ~g.rlike(PRIMARY) & ~g.rlike(ALTERNATE) & ~g.rlike(f"^{MONTH_DATE_TOKEN}$")
-            ),
-            parse_numeric,
+            F.filter(groups, lambda g: ~g.rlike(f"{PRIMARY}|{ALTERNATE}|^{MONTH_DATE_TOKEN}$")), parse_numeric
         ),
         lambda n: n.isNotNull(),
     )
-    alternates = F.filter(groups, lambda g: g.rlike(ALTERNATE))
-    pair = identifier_pair(groups)
-    on_name, on_serial, on_values = part == "name", part == "serial", part == "values"
-    at = F.struct("page", "position")
-    name_agency = F.when(
-        on_name & line.startswith("("), strip(F.regexp_extract(without_trailing_numbers(line), LEADING_PAREN, 1))
-    )
-    tokens = lines.withColumn("groups", _paren_groups(line)).select(
-        "file", "record", "totals", "page", "position", "serial", "sector", "ministry", at.alias("at"),
-        F.when(on_name, _name_part(line)).alias("name_part"),
-        F.when(on_name & (F.size(name_dates) > 0), name_dates).alias("name_dates"),
-        F.when(on_name & (F.size(name_numbers) > 0), F.element_at(name_numbers, -1)).alias("name_cost"),
-        F.when(name_agency != "", name_agency).alias("name_agency"),
-        F.when(on_serial & has_agency, strip(F.regexp_extract(serial_text, LEADING_PAREN, 1))).alias("serial_agency"),
+    name_text = _after_agency(strip(F.regexp_replace("bare", MONTH_DATE_TOKEN, "")))
+    place = _after_agency(F.col("bare"))
+    agency = F.when(F.col("agency_text") != "", F.col("agency_text"))
+    tokens = read.select(
+        "file", "record", "totals", "page", "position", "serial", "sector", "ministry",
+        F.struct("page", "position").alias("at"),
+        F.when(on_name, name_text).alias("name_part"),
+        F.when(F.size("dates") > 0, F.col("dates")).alias("name_dates"),
+        F.when(on_name & (F.size(numbers) > 0), F.element_at(numbers, -1)).alias("name_cost"),
+        F.when(on_name, agency).alias("name_agency"),
+        F.when(on_serial, agency).alias("serial_agency"),
         F.when(on_serial, F.coalesce(longest_match(place), strip(place))).alias("state"),
-        F.when(on_serial & (count >= 2), F.element_at(serial_numbers, -2)).alias("expenditure"),
-        F.when(on_serial & (count >= 1), F.element_at(serial_numbers, -1)).alias("progress"),
-        F.when(on_values & ~pair, F.get(F.filter(groups, lambda g: g.rlike(PRIMARY)), 0)).alias("code"),
-        F.when(on_values & (F.size(alternates) > 0), F.element_at(alternates, -1)).alias("legacy"),
-        F.when(on_values & ~pair, F.get(value_dates, 0)).alias("start_date"),
-        F.when(on_values & ~pair, F.get(value_dates, 1)).alias("revised_doc"),
+        F.when(on_serial & (F.size(numbers) >= 2), F.element_at(numbers, -2)).alias("expenditure"),
+        F.when(on_serial & (F.size(numbers) >= 1), F.element_at(numbers, -1)).alias("progress"),
+        F.when(values, F.get("primaries", 0)).alias("code"),
+        F.when(F.size("alternates") > 0, F.element_at("alternates", -1)).alias("legacy"),
+        F.when(values, F.get("value_dates", 0)).alias("start_date"),
+        F.when(values, F.get("value_dates", 1)).alias("revised_doc"),
         F.when(
-            on_values & ~pair & (F.size(groups) >= 3) & (F.size(value_dates) > 0) & (F.size(costs) > 0),
-            F.element_at(costs, -1),
+            values & (F.size(groups) >= 3) & (F.size("value_dates") > 0), F.get(costs, F.size(costs) - 1)
         ).alias("revised_cost"),
     )
 

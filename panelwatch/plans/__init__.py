@@ -8,7 +8,7 @@ from .registry import ORACLES, QUERIES, Query
 
 GROUPS = (
     "parsing_queries", "report_queries", "text_queries", "quality_queries", "feature_queries", "metric_queries",
-    "portfolio_queries",
+    "portfolio_queries", "model_queries",
 )
 
 
