@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import ratio_or_null
 
@@ -153,44 +153,70 @@ def missing_and_constant(frame: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+def _merged(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Co-moments (n, mean x, mean y, xx, yy, xy) of two disjoint row sets, one row per pair."""
+    n = left[:, 0] + right[:, 0]
+    share = np.divide(right[:, 0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = right[:, 1] - left[:, 1], right[:, 2] - left[:, 2]
+    weight = left[:, 0] * share
+    return np.column_stack(
+        [
+            n, left[:, 1] + dx * share, left[:, 2] + dy * share,
+            left[:, 3] + right[:, 3] + dx * dx * weight,
+            left[:, 4] + right[:, 4] + dy * dy * weight,
+            left[:, 5] + right[:, 5] + dx * dy * weight,
+        ]
+    )
+
+
+def _batch_moments(values: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """Co-moments of one batch over the rows where both columns are known."""
+    known = ~np.isnan(values)
+    out = np.zeros((len(pairs), 6))
+    for k, (i, j) in enumerate(pairs):
+        both = known[:, i] & known[:, j]
+        if both.any():
+            x, y = values[both, i], values[both, j]
+            dx, dy = x - x.mean(), y - y.mean()
+            out[k] = len(x), x.mean(), y.mean(), dx @ dx, dy @ dy, dx @ dy
+    return out
+
+
 def correlations(frame: DataFrame, features: list[str]) -> DataFrame:
     """Pairwise-complete correlation of every feature pair; a constant side gives null.
 
-    Each task turns its batches into one co-moment matrix per pair of features, so only
-    a few hundred rows per task are shuffled, whatever the number of rows scanned.
+    Each task reduces its rows to one row of co-moments per pair, so what is shuffled
+    depends on the number of tasks and pairs, not on the rows scanned.
     """
-    upper = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(pairs), 6))
         for batch in batches:
-            values = batch.to_numpy(dtype=float)
-            known = ~np.isnan(values)
-            columns = []
-            for i, j in upper:
-                both = known[:, i] & known[:, j]
-                n = int(both.sum())
-                if n == 0:
-                    continue
-                x, y = values[both, i], values[both, j]
-                mx, my = x.mean(), y.mean()
-                dx, dy = x - mx, y - my
-                columns.append((i, j, n, mx, my, float(dx @ dx), float(dy @ dy), float(dx @ dy)))
-            yield pd.DataFrame(columns, columns=["i", "j", "n", "mx", "my", "xx", "yy", "xy"])
-
-    schema = "i int, j int, n long, mx double, my double, xx double, yy double, xy double"
-    partial = frame.select([F.col(f).cast("double").alias(f) for f in features]).mapInPandas(moments, schema)
-    n, mx, my = F.col("n"), F.col("mx"), F.col("my")
-
-    def combined(within: str, left: Column, right: Column) -> Column:
-        return F.sum(within) + F.sum(n * left * right) - F.sum(n * left) * F.sum(n * right) / F.sum(n)
-
-    names = F.array(*[F.lit(f) for f in features])
-    merged = partial.groupBy("i", "j").agg(
-        combined("xx", mx, mx).alias("xx"), combined("yy", my, my).alias("yy"), combined("xy", mx, my).alias("xy"),
-        F.sum(n * mx * mx).alias("scale_x"), F.sum(n * my * my).alias("scale_y"),
+            total = _merged(total, _batch_moments(batch.to_numpy(dtype=float), pairs))
+        table = pd.DataFrame(total, columns=["n", "mx", "my", "xx", "yy", "xy"])
+        table.insert(0, "j", [j for _, j in pairs])
+        table.insert(0, "i", [i for i, _ in pairs])
+        yield table[table.n > 0]
+
+    schema = "i int, j int, n double, mx double, my double, xx double, yy double, xy double"
+    columns = [F.col(f).cast("double").alias(f) for f in features]
+    partial = frame.select(columns).mapInPandas(moments, schema)
+    n = F.col("n")
+    same_pair = Window.partitionBy("i", "j")
+    centred = partial.withColumns(
+        {
+            "dx": F.col("mx") - F.sum(n * F.col("mx")).over(same_pair) / F.sum(n).over(same_pair),
+            "dy": F.col("my") - F.sum(n * F.col("my")).over(same_pair) / F.sum(n).over(same_pair),
+        }
     )
-    # A spread below rounding error of the scale is a constant column.
-    spread = (F.col("xx") > F.col("scale_x") * 1e-14) & (F.col("yy") > F.col("scale_y") * 1e-14)
+    merged = centred.groupBy("i", "j").agg(
+        F.sum(F.col("xx") + n * F.col("dx") * F.col("dx")).alias("xx"),
+        F.sum(F.col("yy") + n * F.col("dy") * F.col("dy")).alias("yy"),
+        F.sum(F.col("xy") + n * F.col("dx") * F.col("dy")).alias("xy"),
+    )
+    names = F.array(*[F.lit(f) for f in features])
+    spread = (F.col("xx") > 0) & (F.col("yy") > 0)
     return merged.select(
         names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"),
         F.when(spread, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation"),
