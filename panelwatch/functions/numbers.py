@@ -13,6 +13,11 @@ def money(value: Column) -> Column:
     return value.cast("decimal(18,2)")
 
 
+def cents(value: Column) -> Column:
+    """Amount in hundredths as an integer: exact sums at the price of an integer add."""
+    return F.floor(value * 100 + 0.5)
+
+
 def as_number(text: Column) -> Column:
     """Plain decimal text to double; anything else is null."""
     return F.when(text.rlike(NUMBER), text.try_cast("double"))

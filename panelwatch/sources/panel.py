@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.lexicon import SECTORS
 from ..functions.months import month_label, month_number, month_number_of, month_text, parse_month_date
-from ..functions.numbers import money
+from ..functions.numbers import cents
 
 PANEL_COLUMNS = (
     "report_month", "sl_no", "project_code", "legacy_ocms_code",
@@ -57,9 +58,15 @@ def typed_panel(panel: DataFrame) -> DataFrame:
     )
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given parquet tables."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One of the given parquet tables; its schema is inferred on the first read only."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _places(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +89,7 @@ def supplier_facts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_suppkey").alias("entity"),
         (month_number_of(F.col("l_shipdate")) + MONTH_SHIFT).alias("month_number"),
         "l_partkey", "l_quantity", "l_returnflag", "l_linestatus",
-        money(F.col("l_extendedprice")).alias("price"),
+        cents(F.col("l_extendedprice")).alias("price"),
     )
     signed = F.when(F.col("l_returnflag") == "R", -F.col("price")).otherwise(F.col("price"))
     closed = F.sum(F.when(F.col("l_linestatus") == "F", 1).otherwise(0))
@@ -115,14 +122,14 @@ def customer_facts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").alias("entity"),
         (month_number_of(F.col("o_orderdate")) + MONTH_SHIFT).alias("month_number"),
         "o_orderstatus", "o_orderpriority",
-        money(F.col("o_totalprice")).alias("price"),
+        cents(F.col("o_totalprice")).alias("price"),
     )
     signed = F.when(F.col("o_orderstatus") == "P", -F.col("price")).otherwise(F.col("price"))
     closed = F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0))
     return orders.groupBy("entity", "month_number").agg(
         F.sum("price").alias("amount"),
         F.sum(signed).alias("signed_amount"),
-        F.floor(F.sum("price").cast("double") / 10000).cast("int").alias("units"),
+        F.floor(F.sum("price") / 1000000).cast("int").alias("units"),
         F.round(closed * 100 / F.count("*"), 2).alias("progress"),
         F.max(F.substring("o_orderpriority", 1, 1).try_cast("int")).alias("priority"),
     ).withColumn("agency", F.concat(F.lit("Priority-"), F.col("priority").cast("string")))
@@ -177,11 +184,11 @@ def _panel_from_facts(facts: DataFrame, places: DataFrame, file_prefix: str) ->
         F.when(entity % 3 != 0, month_text(first - 6)).alias("start_date"),
         month_text(first + 36).alias("original_doc"),
         F.when(F.col("peak_units") > 36, month_text(first + F.col("peak_units"))).alias("revised_doc"),
-        F.col("first_amount").cast("double").alias("original_cost"),
-        F.when(F.col("peak_amount") > F.col("first_amount"), F.col("peak_amount").cast("double")).alias(
+        (F.col("first_amount") / 100).alias("original_cost"),
+        F.when(F.col("peak_amount") > F.col("first_amount"), F.col("peak_amount") / 100).alias(
             "revised_cost"
         ),
-        F.col("spent").cast("double").alias("expenditure"),
+        (F.col("spent") / 100).alias("expenditure"),
         F.col("progress").cast("double").alias("physical_progress"),
         F.concat(F.lit(file_prefix), label, F.lit(".txt")).alias("source_file"),
         (F.floor(entity / ENTITIES_PER_PAGE) + 1).cast("int").alias("source_page"),
