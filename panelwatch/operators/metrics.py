@@ -60,15 +60,17 @@ def ranking_metrics(predictions: DataFrame, target: str, score: str, by: list[st
     scores. Groups with a single class get null metrics.
     """
     ranked = cumulative_counts(score_counts(predictions, target, score, by), by)
+    # Products of two counts outgrow a 64-bit integer long before a sum does.
+    pos_here, neg_here = F.col("pos").cast("double"), F.col("neg").cast("double")
     flagged_pos = F.col("pos_before") + F.col("pos")
     flagged = flagged_pos + F.col("neg_before") + F.col("neg")
     # Negatives below a positive win; negatives at the same score win half.
-    wins = F.col("neg") * F.col("pos_before") + F.col("neg") * F.col("pos") / 2
+    wins = neg_here * F.col("pos_before") + neg_here * pos_here / 2
     total = ranked.groupBy(*by).agg(
         F.sum("n").alias("observations"),
         F.sum("pos").alias("events"),
         F.sum(wins).alias("wins"),
-        F.sum(F.col("pos") * flagged_pos / flagged).alias("gain"),
+        F.sum(pos_here * flagged_pos / flagged).alias("gain"),
     )
     pos = F.col("events")
     neg = F.col("observations") - pos
@@ -77,7 +79,7 @@ def ranking_metrics(predictions: DataFrame, target: str, score: str, by: list[st
     return total.select(
         *by, "observations", "events",
         F.round(pos / F.col("observations"), 6).alias("event_rate"),
-        F.round(F.when(both, F.col("wins") / (pos * neg)), 6).alias("roc_auc"),
+        F.round(F.when(both, F.col("wins") / (pos.cast("double") * neg)), 6).alias("roc_auc"),
         F.round(precision, 6).alias("pr_auc"),
         F.round(precision / (pos / F.col("observations")), 6).alias("pr_auc_lift"),
         F.when(both, "DEFINED").otherwise("N/A_SINGLE_CLASS").alias("metric_status"),

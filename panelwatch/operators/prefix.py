@@ -8,7 +8,7 @@ no window partition grows with the data beyond its block.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -144,9 +144,17 @@ def carried_forward(
 
 
 def value_blocks(value: str, low: str, high: str, fanout: int = 4096) -> dict:
-    """Two nested block numbers of a value within [low, high], coarse and fine."""
-    width = F.col(high) - F.col(low)
-    share = F.when(width > 0, (F.col(value) - F.col(low)) / width).otherwise(F.lit(0.0))
+    """Two nested block numbers of a value within [low, high], coarse and fine.
+
+    Blocks are even on a signed logarithmic scale, so that amounts spread over many
+    orders of magnitude do not crowd into a few of them. The scale never reverses order.
+    """
+
+    def scaled(name: str) -> Column:
+        return F.signum(name) * F.log1p(F.abs(F.col(name)))
+
+    width = scaled(high) - scaled(low)
+    share = F.when(width > 0, (scaled(value) - scaled(low)) / width).otherwise(F.lit(0.0))
     return {
         "block": F.floor(share * fanout),
         "subblock": F.floor(share * fanout * fanout),

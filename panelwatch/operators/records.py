@@ -190,6 +190,12 @@ def record_fields(lines: DataFrame) -> DataFrame:
         ).alias("revised_cost"),
     )
 
+    # Text that leads to no serial line is no record. It is left out before grouping: it
+    # may be most of a file, and a join can split such a key where a grouping cannot.
+    keys = ["file", "record", "totals"]
+    with_serial = lines.where(on_serial).select(*keys)
+    tokens = tokens.join(with_serial, keys, "left_semi")
+
     def first(name: str) -> Column:
         return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), F.col("at")))
 

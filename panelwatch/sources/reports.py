@@ -41,10 +41,7 @@ def with_file_names(files: DataFrame) -> DataFrame:
 def read_text_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """One row per file: path and whole content (report files are small)."""
     return (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .text(folder)
+        spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
