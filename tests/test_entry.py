@@ -1,6 +1,7 @@
 import re
 
 import __spark_entry__ as entry
+from panelwatch.plans import all_queries
 from tests.conftest import DATA
 
 
@@ -15,7 +16,7 @@ def test_readme_names_only_registered_queries_and_all_of_them():
     for row in text.splitlines():
         if row.startswith("| ") and not row.startswith("| rows"):
             named |= set(re.findall(r"`([a-z0-9_]+\*?)`", row.rsplit("|", 2)[1]))
-    queries = set(entry.queries())
+    queries = set(all_queries())
     covered = set()
     for name in named:
         matches = {q for q in queries if q.startswith(name[:-1])} if name.endswith("*") else {name} & queries
