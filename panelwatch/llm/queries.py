@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, sqltext
+from . import line_dedup, quality_rules, sqltext
 from .common import read_table
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines before, lines dropped and the hash of the kept text of every document."""
+    docs = read_table(spark, folder, "documents")
+    return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality_rules.judged(read_table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_quality_rules": op3_quality_rules,
 }
 ORACLES = {
+    "op1_line_dedup": sqltext.LINE_DEDUP,
     "op3_quality_rules": sqltext.QUALITY_RULES,
 }
