@@ -57,3 +57,13 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table made by ``written`` that no later plan reads."""
+    spark = df.sparkSession
+    folder = shared_dir(spark).rstrip("/") + "/"
+    for file in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        if file.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
