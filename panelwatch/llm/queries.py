@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, quality_rules, sqltext
+from . import line_dedup, quality_rules, simhash, sqltext
 from .common import read_table
 
 
@@ -19,9 +19,15 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(read_table(spark, folder, "documents"))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.classes(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op5_simhash": op5_simhash,
 }
 ORACLES = {
     "op1_line_dedup": sqltext.LINE_DEDUP,
