@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, quality_rules, simhash, sqltext
+from . import decontaminate, line_dedup, quality_rules, simhash, sqltext
 from .common import read_table
 
 
@@ -24,12 +24,20 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(read_table(spark, folder, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Hit words, items and verdict of every document against all benchmark items."""
+    docs, items = (read_table(spark, folder, name) for name in ("documents", "benchmark"))
+    return decontaminate.judged(docs, items).drop("row_key")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
 }
 ORACLES = {
     "op1_line_dedup": sqltext.LINE_DEDUP,
     "op3_quality_rules": sqltext.QUALITY_RULES,
+    "op6_decontaminate": sqltext.DECONTAMINATE,
 }

@@ -64,3 +64,35 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY r
 """
+
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _item_words(column: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{UPPER}', '{LOWER}'), '{ITEM_WORD}')"
+
+
+DECONTAMINATE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_item_words("text")} AS ws FROM documents
+), b AS (
+  SELECT item_id, {_item_words("text")} AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i:i + 12], ' ') AS g
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0)
+), grams AS (
+  SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n)
+), met AS (
+  SELECT r, i, n, item_id FROM grams JOIN windows USING (n, g)
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM met) GROUP BY r
+), listed AS (
+  SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM met) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
+"""
