@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, quality_rules, simhash, sqltext
+from . import decontaminate, line_dedup, mixing, quality_rules, simhash, sqltext
 from .common import read_table
 
 
@@ -14,6 +14,11 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, target of its source and words taken of every document."""
+    return mixing.taken(read_table(spark, folder, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality_rules.judged(read_table(spark, folder, "documents"))
@@ -32,6 +37,7 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
