@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_rules, simhash, sqltext
+from . import decontaminate, line_dedup, mixing, quality_rules, simhash, sqltext, suffix_dedup
 from .common import read_table
 
 
@@ -35,15 +35,23 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judged(docs, items).drop("row_key")
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes removed from every document and the hash of what stays."""
+    docs = read_table(spark, folder, "documents")
+    return suffix_dedup.digests(docs, suffix_dedup.repeated_windows(docs))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 ORACLES = {
     "op1_line_dedup": sqltext.LINE_DEDUP,
     "op3_quality_rules": sqltext.QUALITY_RULES,
     "op6_decontaminate": sqltext.DECONTAMINATE,
+    "op8_suffix_dedup": sqltext.SUFFIX_DEDUP,
 }

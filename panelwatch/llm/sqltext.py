@@ -96,3 +96,31 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)
 """
+
+SUFFIX_DEDUP = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), s AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k
+  FROM (SELECT r, h, unnest(range(0, strlen(h) // 2 - 399)) AS i FROM d WHERE strlen(h) >= 800)
+), again AS (
+  SELECT r, i FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)
+), runs AS (
+  SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again)
+), spans AS (
+  SELECT r, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, run
+), gaps AS (
+  SELECT r, b - a AS removed, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS start, a AS stop,
+    row_number() OVER (PARTITION BY r ORDER BY a DESC) = 1 AS is_last, b
+  FROM spans
+), kept AS (
+  SELECT r, sum(removed) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start)
+      || any_value(substr(h, 2 * b + 1)) FILTER (is_last) AS rest
+  FROM gaps JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
