@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_rules, simhash, sqltext, suffix_dedup
+from . import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, simhash, sqltext, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -24,6 +24,12 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(read_table(spark, folder, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Probabilities of the label chain and the toxicity verdict of every document."""
+    docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
+    return toxicity.scores(docs, labels)
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.classes(read_table(spark, folder, "documents"))
@@ -41,13 +47,21 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digests(docs, suffix_dedup.repeated_windows(docs))
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score and verdict of every document."""
+    docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
+    return quality_classifier.scores(docs, labels)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {
     "op1_line_dedup": sqltext.LINE_DEDUP,
