@@ -20,6 +20,8 @@ FOLDS, HELD_OUT = 5, 0
 #: Most labelled rows that a model is fitted on; the first by hash of the id.
 MAX_LABELLED = 12_000
 PIECE = 1 << 20
+#: Bytes at the beginning of longer words that are features of their own, for inflected forms.
+PREFIXES = (4, 5, 6, 7)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -90,8 +92,12 @@ def indicators(text: str | None, seen: np.ndarray) -> np.ndarray:
     return found
 
 
+def distinct_word_hashes(text: str | None) -> np.ndarray:
+    return np.unique(word_hashes(text))
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    """Distinct 64-bit hashes of the words of a text and of its pairs of neighbouring words."""
+    """64-bit hashes of a text's words, pairs of neighbouring words, and beginnings of words."""
     data = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
     found, at = [], 0
     while at < len(data):
@@ -103,11 +109,15 @@ def word_hashes(text: str | None) -> np.ndarray:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _UP[: len(low)], dtype=np.uint64)])
             words = (sums[ends] - sums[starts]) * _DOWN[starts]
             found += [words, (words[:-1] * np.uint64(_BASE) + words[1:]) ^ np.uint64(1 << 40)]
+            for length in PREFIXES:
+                long = ends - starts > length
+                heads = (sums[starts[long] + length] - sums[starts[long]]) * _DOWN[starts[long]]
+                found.append(heads ^ np.uint64(1 << 41))
         if at + PIECE >= len(data):
             break
         last = int(starts[-1]) if len(starts) else PIECE
         at += last if last > PIECE // 2 else PIECE
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *found])).view(np.int64)
+    return np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
 
 
 def held_out(id_col: Column) -> Column:

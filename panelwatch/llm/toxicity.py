@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain.
 
 Categories are label columns in a fixed order. The model of each category is a logistic
-regression on indicators of words and word pairs, those that tell the labels apart, plus the log odds of all earlier categories. While
+regression on indicators of words, their beginnings and word pairs, those that tell the labels
+apart, plus the log odds of all earlier categories. While
 learning, these odds come from models that have not seen the row (out of fold); while scoring,
 from the earlier model itself. All models are fitted on one bounded sample of labelled rows
 (``MAX_LABELLED``); every document is scored over its whole text.
@@ -18,8 +19,10 @@ import pickle
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .hashed_text import MAX_LABELLED, fitted, held_out, labelled_sample, scored, sigmoid, word_hashes
+from .hashed_text import distinct_word_hashes, fitted, held_out, labelled_sample, scored, sigmoid, word_hashes
 
+#: Most labelled rows that the chain is fitted on; the first by hash of the id.
+MAX_LABELLED = 8_000
 #: The categories that the labels have, in chain order.
 CATEGORIES = ("quality", "toxic")
 THRESHOLD = 0.5
@@ -55,7 +58,7 @@ class Linear:
     def odds(self, row: np.ndarray, dense) -> float:
         at = np.searchsorted(self.words, row)
         at[at == len(self.words)] = 0
-        hit = at[self.words[at] == row] if len(self.words) else at[:0]
+        hit = np.unique(at[self.words[at] == row]) if len(self.words) else at[:0]
         return float(self.w[hit].sum() + self.v @ np.asarray(dense, dtype=float) + self.b)
 
     @classmethod
@@ -107,7 +110,7 @@ def scores(
     categories: tuple[str, ...] = CATEGORIES, most: int = MAX_LABELLED, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(id, held_out, one probability per category, predicted for the last category)."""
-    sample = labelled_sample(docs, labels, list(categories), id_col, text_col, lambda: word_hashes, most)
+    sample = labelled_sample(docs, labels, list(categories), id_col, text_col, lambda: distinct_word_hashes, most)
     chain = [Linear(*parts) for parts in pickle.loads(fitted(sample, fit, list(categories)))]
 
     def score(row: np.ndarray) -> tuple[float, ...]:
