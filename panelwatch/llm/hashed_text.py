@@ -24,10 +24,10 @@ PIECE = 1 << 20
 PREFIXES = (4, 5, 6, 7)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IN_WORD = np.ones(256, dtype=bool)
-_IN_WORD[:128] = [chr(c).isalnum() for c in range(128)]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IN_WORD = np.ones(256, dtype=bool)
+IN_WORD[:128] = [chr(c).isalnum() for c in range(128)]
 
 
 def _powers(base: int) -> np.ndarray:
@@ -52,8 +52,8 @@ def _slot(values: np.ndarray, kind: int) -> np.ndarray:
 
 def _mark(data: np.ndarray, seen: np.ndarray) -> int:
     """Mark the n-grams of one piece; return where its last word starts."""
-    low = _LOWER[data]
-    inside = np.concatenate([[False], _IN_WORD[low], [False]])
+    low = LOWER[data]
+    inside = np.concatenate([[False], IN_WORD[low], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     with np.errstate(over="ignore"):
@@ -98,11 +98,11 @@ def distinct_word_hashes(text: str | None) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's words, pairs of neighbouring words, and beginnings of words."""
-    data = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    data = LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
     found, at = [], 0
     while at < len(data):
         low = data[at : at + PIECE]
-        inside = np.concatenate([[False], _IN_WORD[low], [False]])
+        inside = np.concatenate([[False], IN_WORD[low], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
         with np.errstate(over="ignore"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, simhash, sqltext, suffix_dedup, toxicity
+from . import decontaminate, line_dedup, link_trust, mixing, quality_classifier, quality_rules, sentence_spans, simhash, sqltext, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -41,12 +41,22 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judged(docs, items).drop("row_key")
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return link_trust.judged(read_table(spark, folder, "pages"))
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes removed from every document and the hash of what stays."""
     docs = read_table(spark, folder, "documents")
     return suffix_dedup.digests(docs, suffix_dedup.repeated_windows(docs))
 
 
+def op9_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document, those under repeated spans, and the hash of the rest."""
+    return sentence_spans.deduplicated(read_table(spark, folder, "documents")).drop("kept")
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score and verdict of every document."""
     docs, labels = (read_table(spark, folder, name) for name in ("documents", "labels"))
@@ -60,7 +70,9 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_url_filter": op7_url_filter,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_sentence_spans": op9_sentence_spans,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES = {
