@@ -22,6 +22,7 @@ MAX_LABELLED = 12_000
 PIECE = 1 << 20
 #: Bytes at the beginning of longer words that are features of their own, for inflected forms.
 PREFIXES = (4, 5, 6, 7)
+GAPS = (1, 2)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,16 +43,33 @@ _UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
 
 def _slot(values: np.ndarray, kind: int) -> np.ndarray:
     """Place of each value in the table, by a hash that differs for each kind of n-gram."""
-    x = values ^ np.uint64(kind * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
+    with np.errstate(over="ignore"):
+        x = values ^ np.uint64(kind * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
     return (x >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _mark(data: np.ndarray, seen: np.ndarray) -> int:
-    """Mark the n-grams of one piece; return where its last word starts."""
+def _parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes of a text in parts of up to ``PIECE``, cut between words; a part begins with the last but
+    one word of the part before, so that no pair of neighbours is lost or made up."""
+    at = 0
+    while at + PIECE < len(data):
+        inside = IN_WORD[data[at : at + PIECE]]
+        starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        if len(starts) > 2 and starts[-2] > PIECE // 2:
+            yield data[at : at + int(starts[-1])]
+            at += int(starts[-2])
+        else:  # a word without end is cut
+            yield data[at : at + PIECE]
+            at += PIECE
+    yield data[at:]
+
+
+def _mark(data: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Mark the n-grams of one part; return how many words repeat the one or the two before, of how many."""
     low = LOWER[data]
     inside = np.concatenate([[False], IN_WORD[low], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -65,12 +83,7 @@ def _mark(data: np.ndarray, seen: np.ndarray) -> int:
         wide = data.astype(np.uint64)
         if len(wide) > 2:
             seen[_slot(wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:], 3)] = True
-        # relations of neighbours as n-grams of their own: a word that repeats the one or two before it
-        for gap in (1, 2):
-            again = words[gap:] == words[:-gap]
-            share = 0 if not len(again) else int(4 * again.mean() + 0.999)
-            seen[_slot(np.array([gap * 16 + share], dtype=np.uint64), 4)] = True
-    return int(starts[-1]) if len(starts) else len(data)
+    return np.array([[(words[gap:] == words[:-gap]).sum(), max(0, len(words) - gap)] for gap in GAPS])
 
 
 def indicators(text: str | None, seen: np.ndarray) -> np.ndarray:
@@ -78,15 +91,12 @@ def indicators(text: str | None, seen: np.ndarray) -> np.ndarray:
 
     ``seen`` is a table of ``SIZE`` false values and is left so.
     """
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    at = 0
-    while at < len(data):
-        part = data[at : at + PIECE]
-        last = _mark(part, seen)
-        if at + PIECE >= len(data):
-            break
-        # the last word may go on; a piece without room for it is cut where it ends
-        at += last if last > PIECE // 2 else PIECE
+    again = np.zeros((len(GAPS), 2), dtype=np.int64)
+    for part in _parts(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)):
+        again = again + _mark(part, seen)
+    # how much of a text repeats its neighbours, in quarters, as an n-gram of its own
+    shares = [gap * 16 + (4 * int(k) + int(n) - 1) // int(n) for gap, (k, n) in zip(GAPS, again) if n]
+    seen[_slot(np.array(shares, dtype=np.uint64), 4)] = True
     found = np.flatnonzero(seen)
     seen[found] = False
     return found
@@ -98,10 +108,9 @@ def distinct_word_hashes(text: str | None) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's words, pairs of neighbouring words, and beginnings of words."""
-    data = LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
-    found, at = [], 0
-    while at < len(data):
-        low = data[at : at + PIECE]
+    found = []
+    for part in _parts(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)):
+        low = LOWER[part]
         inside = np.concatenate([[False], IN_WORD[low], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
@@ -113,10 +122,6 @@ def word_hashes(text: str | None) -> np.ndarray:
                 long = ends - starts > length
                 heads = (sums[starts[long] + length] - sums[starts[long]]) * _DOWN[starts[long]]
                 found.append(heads ^ np.uint64(1 << 41))
-        if at + PIECE >= len(data):
-            break
-        last = int(starts[-1]) if len(starts) else PIECE
-        at += last if last > PIECE // 2 else PIECE
     return np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
 
 
