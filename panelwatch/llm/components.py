@@ -14,9 +14,12 @@ from ..session import discard, written
 
 
 def _with_smallest(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with ``m``, the smallest of u and all v of the same u."""
+    """Each (u, v) with ``m``, the smallest of u and all v of the same u.
+
+    The minima are written first, so that the join may split a node with many links.
+    """
     smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(smallest.select("u", F.least("u", "m").alias("m")), "u")
+    return edges.join(written(smallest.select("u", F.least("u", "m").alias("m")), "smallest"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

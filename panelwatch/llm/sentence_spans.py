@@ -163,10 +163,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     # The texts are cut twice, so that spans that occur once are neither written nor joined by place.
     found = rows.mapInArrow(_span_rows, schema)
-    again = found.select("h1").groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    # Counts are written before they are joined back, so that the join may split a frequent key.
+    again = written(found.select("h1").groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "shared-spans")
     met = written(found.join(again, "h1"), "spans")
     place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "row_key", "first")
-    shared = met.groupBy("h1", "h2").agg(F.min(place).alias("place"))
+    shared = written(met.groupBy("h1", "h2").agg(F.min(place).alias("place")), "first-places")
     later = met.join(shared, ["h1", "h2"]).where(~same(place, F.col("place")))
     return (
         later.groupBy("doc", "row_key")

@@ -246,12 +246,14 @@ def _refined(spans: DataFrame) -> DataFrame:
         # Equal whole contexts are one class; one that leaves its document is a class of its own.
         classes = nodes.where(F.col("w1").isNotNull()).groupBy(*key, "w1", "w2").agg(F.sum("docs").alias("n"))
         alone = nodes.where(F.col("w1").isNull()).select(*key, F.col("docs").alias("n"), "docs")
-        summary = (
+        summary = written(
             classes.select(*key, "n", F.col("n").alias("docs"))
             .unionByName(alone)
             .groupBy(*key)
             .agg(F.sum("docs").alias("all"), F.min("n").alias("rarest"))
             .where((F.col("all") > 1) & (F.col("rarest") == 1))
+            .select(*key),
+            "open-classes",
         )
         repeated = (
             nodes.join(classes.where("n > 1"), [*key, "w1", "w2"])
@@ -261,7 +263,7 @@ def _refined(spans: DataFrame) -> DataFrame:
         repeated = written(repeated, "repeated")
         done = repeated if done is None else done.unionByName(repeated)
         # One member of each class goes on, and every range that leaves its document.
-        open_nodes = nodes.join(summary.select(*key), key)
+        open_nodes = nodes.join(summary, key)
         first = (
             open_nodes.where(F.col("w1").isNotNull())
             .groupBy(*key, "w1", "w2")
@@ -290,7 +292,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     longs = [T.StructField(n, T.LongType()) for n in ("row_key", "place", "gram", "t1", "t2")]
     rows = docs.select(F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     anchors = written(rows.mapInArrow(_anchor_rows, T.StructType([doc_field, *longs])), "anchors")
-    shared = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Counts are written before they are joined back, so that the join may split a frequent key.
+    shared = written(
+        anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "shared-grams"
+    )
     met = written(anchors.join(shared, "gram"), "shared-anchors")
     discard(anchors)
     spans = written(
@@ -302,11 +307,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     everywhere = met.join(spans.where("docs > 1").select("t1", "t2"), ["t1", "t2"]).select(
         "doc", "row_key", (F.col("place") - (REACH - 1)).alias("start"), F.col("place").alias("end")
     )
-    mixed = (
+    mixed = written(
         spans.groupBy("gram")
         .agg(F.count("*").alias("n"), F.min("docs").alias("rarest"))
         .where("n > 1 AND rarest = 1")
-        .select("gram")
+        .select("gram"),
+        "open-grams",
     )
     wanted = (
         spans.join(mixed, "gram")
