@@ -129,7 +129,8 @@ def test_a_very_long_text_is_cut_like_a_short_one():
     h1, h2, begin, end = sentence_spans.spans(text)
     short = sentence_spans.spans(part * 40)
     assert set(zip(h1.tolist(), h2.tolist())) == set(zip(short[0].tolist(), short[1].tolist()))
-    assert end.max() == len(text.encode()) and (np.diff(begin) > 0).all()
+    # the last span ends with the text or with the sentence before its last one
+    assert len(text.encode()) - len(part) < end.max() <= len(text.encode()) and (np.diff(begin) > 0).all()
     unbroken = sentence_spans.spans("x" * (3 * sentence_spans.PIECE))
     assert len(unbroken[0]) == 0
 
