@@ -12,7 +12,7 @@ from .lexicon import (
     MONTH_DATE_TEXT,
     MONTH_DATE_TOKEN,
     STATES,
-    state_labels,
+    STATE_LABELS,
 )
 from .numbers import MISSING_MARKERS, as_number
 
@@ -100,7 +100,7 @@ def longest_match(text: Column, words: Iterable[str] = STATES) -> Column:
 
 def canonical_state(label: Column) -> Column:
     """Canonical state name of a printed label, else null."""
-    table = F.create_map(*[F.lit(x) for pair in state_labels().items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in STATE_LABELS.items() for x in pair])
     return F.try_element_at(table, F.upper(collapse_whitespace(label)))
 
 
@@ -160,3 +160,9 @@ def hash_bucket(identity: Column, buckets_base: int = 10) -> Column:
 def search_text(*columns: Column) -> Column:
     """Lower-case text of several fields for substring search."""
     return F.lower(F.concat_ws(" ", *columns))
+
+
+def summed_hashes(digest: Column) -> Column:
+    """Aggregate of SHA-256 digests that does not depend on their order: four sums of 64 bits."""
+    lanes = [F.conv(F.substring(digest, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    return F.concat_ws("-", *[F.sum(lane.cast("decimal(38,0)")).cast("string") for lane in lanes])

@@ -201,13 +201,12 @@ def change_feed(snapshots: DataFrame, size: int = FEED_SIZE) -> DataFrame:
 
 
 def change_summaries(snapshots: DataFrame) -> DataFrame:
-    """Newly elevated entities and feed counts of cost, schedule and improvement events."""
+    """Newly elevated entities, and all cost, schedule and improvement events of the latest month."""
     def labelled(frame: DataFrame, label: str, test: Column) -> DataFrame:
         return frame.agg(F.count_if(test).alias("projects")).withColumn("summary", F.lit(label))
 
-    feed = change_feed(snapshots)
     kind = F.col("type")
-    counts = feed.agg(
+    counts = change_events(snapshots).agg(
         F.array(
             F.struct(F.lit("cost escalation signals").alias("summary"), F.count_if(kind == "cost").alias("projects")),
             F.struct(F.lit("schedule deterioration signals").alias("summary"), F.count_if(kind == "schedule").alias("projects")),
@@ -260,7 +259,7 @@ PORTFOLIO_ANOMALIES = (
 
 
 def anomaly_members(snapshots: DataFrame) -> DataFrame:
-    """(anomaly, project) pairs; stagnation lists entities whose feed event is progress.
+    """(anomaly, project) pairs; stagnation lists all entities with a progress event.
 
     Members stay rows, so an anomaly that holds most entities needs no single list.
     """
@@ -275,7 +274,7 @@ def anomaly_members(snapshots: DataFrame) -> DataFrame:
     )
     members = view.select(F.explode(found).alias("anomaly"), "project_id")
     stagnant = (
-        change_feed(snapshots).where(F.col("type") == "progress").select("project_id").distinct()
+        change_events(snapshots).where(F.col("type") == "progress").select("project_id").distinct()
         .join(view.select("project_id"), "project_id", "left_semi")
         .select(F.lit("a4").alias("anomaly"), "project_id")
     )

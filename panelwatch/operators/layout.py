@@ -79,28 +79,32 @@ def _line_counts(pages: DataFrame) -> DataFrame:
 def _labels(pages: DataFrame) -> DataFrame:
     """Per file: pages, contents-page labels and the label of its project table."""
     text = F.col("text")
-    front = F.col("page") <= F.col("front_end")
     head = F.substring(text, 1, 500)
 
-    def front_has(*words: str) -> Column:
-        test = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
-        return F.max((front & test).cast("int"))
+    def has(*words: str) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words]).cast("int")
 
-    bounds = pages.groupBy("file").agg(F.min("page").alias("front"), F.count("*").alias("pages"))
-    first_pages = pages.join(bounds, "file").withColumn("front_end", F.col("front") + 3)
-    section = F.contains(head, F.lit(SECTION_TITLE))
     # The last page that prints a label decides, as in reading order.
     label = F.when(F.contains(head, F.lit("Table 6")), "Table 6").when(
         F.contains(head, F.lit("Table 4")), "Table 4"
     )
-    return first_pages.groupBy("file", "pages").agg(
-        front_has("Table 6:").alias("front_table6"),
-        front_has("Table 5:").alias("front_table5"),
-        front_has("Table 4: All Ongoing", "Table 4:All Ongoing").alias("front_table4"),
-        front_has("Table 3: All Ongoing", "Table 3:All Ongoing").alias("front_table3"),
-        F.coalesce(
-            F.max_by(label, F.when(section & label.isNotNull(), F.col("page"))), F.lit("")
-        ).alias("table_label"),
+    labels = {
+        "front_table6": has("Table 6:"),
+        "front_table5": has("Table 5:"),
+        "front_table4": has("Table 4: All Ongoing", "Table 4:All Ongoing"),
+        "front_table3": has("Table 3: All Ongoing", "Table 3:All Ongoing"),
+    }
+    # A page is its labels from here on: no shuffle carries text.
+    read = pages.select(
+        "file", "page",
+        *[test.alias(name) for name, test in labels.items()],
+        F.when(F.contains(head, F.lit(SECTION_TITLE)), label).alias("label"),
+    )
+    bounds = read.groupBy("file").agg(F.min("page").alias("front"), F.count("*").alias("pages"))
+    front = F.col("page") <= F.col("front") + 3
+    return read.join(bounds, "file").groupBy("file", "pages").agg(
+        *[F.max(F.when(front, F.col(name)).otherwise(0)).alias(name) for name in labels],
+        F.coalesce(F.max_by("label", F.when(F.col("label").isNotNull(), F.col("page"))), F.lit("")).alias("table_label"),
     )
 
 

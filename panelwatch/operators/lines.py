@@ -52,14 +52,14 @@ def is_month_banner(line: Column) -> Column:
     return line.rlike(MONTH_BANNER)
 
 
-def is_data_line(line: Column) -> Column:
+def is_data_line(line: Column, boilerplate: tuple[str, ...] = BOILERPLATE) -> Column:
     """Neither boilerplate, column header nor month banner."""
-    return ~(is_skip_line(line) | is_column_header(line) | is_month_banner(line))
+    return ~(is_skip_line(line, boilerplate) | is_column_header(line) | is_month_banner(line))
 
 
-def data_lines(lines: DataFrame) -> DataFrame:
+def data_lines(lines: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
     """Lines that carry report data."""
-    return lines.where(is_data_line(F.col("line")))
+    return lines.where(is_data_line(F.col("line"), boilerplate))
 
 
 def is_ministry(line: Column) -> Column:
@@ -85,10 +85,10 @@ def is_serial_candidate(line: Column) -> Column:
     return F.coalesce(line.rlike(SERIAL_LINE) & (with_state | low_serial), F.lit(False))
 
 
-def line_class(line: Column) -> Column:
+def line_class(line: Column, boilerplate: tuple[str, ...] = BOILERPLATE) -> Column:
     """boilerplate, ministry, sector, total, serial, parenthetical or text."""
     return (
-        F.when(~is_data_line(line), "boilerplate")
+        F.when(~is_data_line(line, boilerplate), "boilerplate")
         .when(is_ministry(line), "ministry")
         .when(is_sector(line), "sector")
         .when(line.rlike(TOTAL_LINE), "total")
@@ -98,16 +98,16 @@ def line_class(line: Column) -> Column:
     )
 
 
-def classified(lines: DataFrame) -> DataFrame:
+def classified(lines: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
     """Lines with their class and the page block used for long files."""
     return lines.withColumns(
-        {"line_class": line_class(F.col("line")), "block": F.floor(F.col("page") / PAGES_PER_BLOCK)}
+        {"line_class": line_class(F.col("line"), boilerplate), "block": F.floor(F.col("page") / PAGES_PER_BLOCK)}
     )
 
 
-def class_counts(lines: DataFrame) -> DataFrame:
+def class_counts(lines: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
     """Lines per file and class."""
-    return classified(lines).groupBy("file", "line_class").agg(F.count("*").alias("lines"))
+    return classified(lines, boilerplate).groupBy("file", "line_class").agg(F.count("*").alias("lines"))
 
 
 def section_pages(pages: DataFrame, title: str = SECTION_TITLE, within: int = 300) -> DataFrame:
@@ -123,14 +123,14 @@ def section_pages(pages: DataFrame, title: str = SECTION_TITLE, within: int = 30
     )
 
 
-def with_headers(lines: DataFrame) -> DataFrame:
+def with_headers(lines: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
     """Data lines with the sector and ministry header in force and the last line class
     other than a parenthetical one.
 
     Headers carry over page ends. Pages and blocks of pages are summarised first, so a
     file that holds most of the lines is not one task.
     """
-    rows = classified(lines).where(F.col("line_class") != "boilerplate").withColumns(
+    rows = classified(lines, boilerplate).where(F.col("line_class") != "boilerplate").withColumns(
         {
             "sector_line": F.when(F.col("line_class") == "sector", F.col("line")),
             "ministry_line": F.when(F.col("line_class") == "ministry", F.col("line")),
@@ -173,14 +173,16 @@ def nearest_marker(
     )
 
 
-def continued_pages(pages: DataFrame, title: str = SECTION_TITLE) -> DataFrame:
+def continued_pages(
+    pages: DataFrame, title: str = SECTION_TITLE, boilerplate: tuple[str, ...] = BOILERPLATE
+) -> DataFrame:
     """Section pages per file that start in the middle of a record.
 
     The first data line among the ten first lines decides; the file's first section page
     cannot continue anything.
     """
     head = F.slice(F.transform(F.split(F.col("text"), "\n"), strip), 1, 10)
-    first = F.get(F.filter(head, is_data_line), 0)
+    first = F.get(F.filter(head, lambda x: is_data_line(x, boilerplate)), 0)
     starts_clean = (
         is_ministry(first) | is_sector(first) | first.rlike(TOTAL_LINE) | first.rlike(SERIAL_LINE)
     )

@@ -220,6 +220,7 @@ def granularity(rows: DataFrame) -> DataFrame:
         return F.contains(dataset, F.lit(word)) | F.contains(title, F.lit(word))
 
     physical = F.contains(dataset, F.lit("physical")) | F.contains(title, F.lit("progress"))
+    # The reasons.
     rules = [
         (either("state"), True, F.lit("State-wise aggregation (rows represent states, not individual projects)")),
         (either("sector"), True, F.lit("Sector-wise aggregation (rows represent sectors, not individual projects)")),

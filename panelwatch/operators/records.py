@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lexicon import (
     ALTERNATE_CODE_LINE,
+    BOILERPLATE,
     MONTH_DATE_TOKEN,
     PAREN_GROUP,
     POLLUTED_NAME,
@@ -23,7 +24,7 @@ from ..functions.text import (
     trailing_numbers,
     without_trailing_numbers,
 )
-from ..session import written
+from ..session import discard, written
 from .lines import serial_number, with_headers
 from .prefix import carried_forward, running_totals
 
@@ -32,6 +33,7 @@ ALTERNATE = r"^[NO]\d{7,9}$"
 LEADING_PAREN = r"^\(([^)]+)\)\s*(.*)$"
 PLACEHOLDERS = ("-", "", "NA", "N/A")  # fixed values
 SMALLEST_JUMP = 200  # fixed value
+OLDER_LAYOUTS = ("OLD_FORMAT_A", "OLD_FORMAT_B")  # fixed values
 
 
 def in_sequence(candidate: Column, previous: Column) -> Column:
@@ -40,30 +42,42 @@ def in_sequence(candidate: Column, previous: Column) -> Column:
     return previous.isNull() | (F.abs(candidate - previous) <= jump)
 
 
-def accepted_serials(lines: DataFrame, passes: int = 2) -> DataFrame:
+def accepted_serials(lines: DataFrame) -> DataFrame:
     """(file, page, position, serial) of the serial lines that are in sequence.
 
-    Continuity is judged against the last serial accepted in the previous pass, which
-    settles isolated outliers such as a chainage at the start of a name line. Only the
-    serial lines and their positions take part.
+    A serial is judged against the last serial accepted before it. Every pass judges all of
+    them against the verdicts of the pass before, until a pass changes nothing. A verdict
+    depends on earlier lines only, so each pass settles at least one more line of a file: the
+    loop ends, and what it ends with is what reading the lines in order gives. Only the serial
+    lines and their positions take part.
     """
-    judged = (
+    judged = written(
         lines.where(F.col("line_class") == "serial")
         .select("file", "block", "page", "position", serial_number(F.col("line")).alias("serial"))
-        .withColumn("accepted", F.col("serial"))
+        .withColumn("accepted", F.col("serial")),
+        "serial-verdicts",
     )
-    for _ in range(passes):
-        judged = (
+    while True:
+        verdict = F.when(in_sequence(F.col("serial"), F.col("before")), F.col("serial"))
+        following = written(
             carried_forward(
                 judged, ["file"], ["block", "page"], ["position"], {"before": "accepted"}, strict=True
-            )
-            .withColumn("accepted", F.when(in_sequence(F.col("serial"), F.col("before")), F.col("serial")))
-            .drop("before")
+            ).select(
+                "file", "block", "page", "position", "serial", verdict.alias("accepted"),
+                (~verdict.eqNullSafe(F.col("accepted"))).alias("changed"),
+            ),
+            "serial-verdicts",
         )
-    return judged.where(F.col("accepted").isNotNull()).select("file", "page", "position", "serial")
+        settled = not following.where("changed").take(1)
+        discard(judged)
+        judged = following.drop("changed")
+        if settled:
+            return judged.where(F.col("accepted").isNotNull()).select("file", "page", "position", "serial")
 
 
-def segmented(lines: DataFrame, check_continuity: bool = True) -> DataFrame:
+def segmented(
+    lines: DataFrame, check_continuity: bool = True, boilerplate: tuple[str, ...] = BOILERPLATE
+) -> DataFrame:
     """Lines of each record: its name lines, serial line and parenthetical lines.
 
     A record is numbered by counting serial lines in file order. Text before a serial
@@ -71,7 +85,7 @@ def segmented(lines: DataFrame, check_continuity: bool = True) -> DataFrame:
     the serial they directly follow.
     """
     # Read several times below: written once, so the text is classified only once.
-    rows = written(with_headers(lines), "report-lines")
+    rows = written(with_headers(lines, boilerplate), "report-lines")
     if check_continuity:
         accepted = written(accepted_serials(rows), "report-serials")
         rows = rows.join(accepted, ["file", "page", "position"], "left").withColumn(
@@ -126,13 +140,27 @@ def _after_agency(text: Column) -> Column:
     return F.when(text.rlike(LEADING_PAREN), F.regexp_extract(text, LEADING_PAREN, 2)).otherwise(text)
 
 
-def record_fields(lines: DataFrame) -> DataFrame:
+def printed_place(text: Column) -> Column:
+    """The state of a serial line: the known state, a list of states as printed, or the text.
+
+    A list that goes on below ends with a comma.
+    """
+    known = longest_match(text)
+    listed = F.btrim(strip(text), F.lit("()"))
+    is_list = F.contains(listed, F.lit(",")) & ~F.rtrim(listed).endswith(")")
+    return F.when(
+        known.isNotNull() & is_list, F.when(listed.endswith(","), listed).otherwise(F.concat(listed, F.lit(",")))
+    ).otherwise(F.coalesce(known, strip(text)))
+
+
+def record_fields(lines: DataFrame, dates_on_serial: bool = False) -> DataFrame:
     """One row per record with its fields, identifiers and statuses.
 
     Each line yields its own tokens first; a record then takes them in reading order.
     Codes of 5-7 digits are primary, an N or O with 7-9 digits is alternate, and the
     second value of an identifier pair is neither. A single number on the serial line is
-    the progress. Dates in the value line are start and revised completion.
+    the progress. Dates in the value line are start and revised completion; in the older layout
+    (``dates_on_serial``) the start is the first date of the serial line.
     """
     part = F.col("part")
     on_name, on_serial, on_values = part == "name", part == "serial", part == "values"
@@ -145,6 +173,7 @@ def record_fields(lines: DataFrame) -> DataFrame:
                 "numbers": trailing_numbers(F.col("body")),
                 "bare": without_trailing_numbers(F.col("body")),
                 "dates": F.when(on_name, extract_month_dates(F.col("body"))),
+                "serial_dates": F.when(on_serial & F.lit(dates_on_serial), extract_month_dates(F.col("body"))),
                 "groups": F.when(on_values, _paren_groups(F.col("line"))),
             }
         )
@@ -168,7 +197,8 @@ def record_fields(lines: DataFrame) -> DataFrame:
         lambda n: n.isNotNull(),
     )
     name_text = _after_agency(strip(F.regexp_replace("bare", MONTH_DATE_TOKEN, "")))
-    place = _after_agency(F.col("bare"))
+    undated = F.regexp_replace("bare", MONTH_DATE_TOKEN, "") if dates_on_serial else F.col("bare")
+    place = _after_agency(strip(undated))
     agency = F.when(F.col("agency_text") != "", F.col("agency_text"))
     tokens = read.select(
         "file", "record", "totals", "page", "position", "serial", "sector", "ministry",
@@ -178,13 +208,15 @@ def record_fields(lines: DataFrame) -> DataFrame:
         F.when(on_name & (F.size(numbers) > 0), F.element_at(numbers, -1)).alias("name_cost"),
         F.when(on_name, agency).alias("name_agency"),
         F.when(on_serial, agency).alias("serial_agency"),
-        F.when(on_serial, F.coalesce(longest_match(place), strip(place))).alias("state"),
+        F.when(on_serial, printed_place(place)).alias("state"),
         F.when(on_serial & (F.size(numbers) >= 2), F.element_at(numbers, -2)).alias("expenditure"),
         F.when(on_serial & (F.size(numbers) >= 1), F.element_at(numbers, -1)).alias("progress"),
         F.when(values, F.get("primaries", 0)).alias("code"),
         F.when(F.size("alternates") > 0, F.element_at("alternates", -1)).alias("legacy"),
-        F.when(values, F.get("value_dates", 0)).alias("start_date"),
-        F.when(values, F.get("value_dates", 1)).alias("revised_doc"),
+        (
+            F.get("serial_dates", 0) if dates_on_serial else F.when(values, F.get("value_dates", 0))
+        ).alias("start_date"),
+        F.when(values, F.get("value_dates", 0 if dates_on_serial else 1)).alias("revised_doc"),
         F.when(
             values & (F.size(groups) >= 3) & (F.size("value_dates") > 0), F.get(costs, F.size(costs) - 1)
         ).alias("revised_cost"),
@@ -247,9 +279,14 @@ def record_fields(lines: DataFrame) -> DataFrame:
     )
 
 
-def extract_records(lines: DataFrame, check_continuity: bool = True) -> DataFrame:
-    """Project records of classified report pages."""
-    return record_fields(segmented(lines, check_continuity))
+def extract_records(
+    lines: DataFrame,
+    check_continuity: bool = True,
+    layout: str | None = None,
+    boilerplate: tuple[str, ...] = BOILERPLATE,
+) -> DataFrame:
+    """Project records of report pages of one layout; the older layouts print the start on the serial line."""
+    return record_fields(segmented(lines, check_continuity, boilerplate), layout in OLDER_LAYOUTS)
 
 
 def printed_dates(cell: Column) -> Column:
@@ -323,12 +360,12 @@ def project_cell(cell: Column) -> Column:
     )
 
 
-def printed_totals(lines: DataFrame) -> DataFrame:
+def printed_totals(lines: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
     """Sum of the printed totals, records and highest serial of each file.
 
     The totals reconcile when all three agree.
     """
-    rows = with_headers(lines)
+    rows = with_headers(lines, boilerplate)
     total = F.regexp_extract("line", TOTAL_LINE, 1).try_cast("long")
     is_total, is_serial = F.col("line_class") == "total", F.col("line_class") == "serial"
     table = rows.groupBy("file").agg(

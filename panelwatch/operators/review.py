@@ -56,6 +56,7 @@ def review_queue(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     status = choose(
         "IDENTIFIER_FOUND", "IDENTIFIER_FOUND", "PARSER_FAILURE", "VERIFIED_SOURCE_MISSING", "UNRESOLVED"
     )
+    # Failure types and notes.
     failure = choose(
         "VERIFIED_PARSER_FAILURE_WRAPPED_OR_BOUNDARY_IDENTIFIER",
         "VERIFIED_PARSER_FAILURE_ALTERNATE_IDENTIFIER",

@@ -100,10 +100,10 @@ def named_slice_rows(frame: DataFrame, slices=IMPORTANT_SLICES) -> DataFrame:
         [(label, field, value) for label, (field, value) in slices.items()],
         "important_slice string, slice_feature string, slice_value string",
     )
-    # The list of names is a parameter, one row per named slice.
-    return F.broadcast(wanted).join(
-        members.drop("slice_feature", "slice_value"), "important_slice", "left"
-    )
+    # A slice without members is one row of nulls; the members themselves are not shuffled.
+    present = members.select("important_slice").distinct()
+    missing = wanted.join(present, "important_slice", "left_anti")
+    return members.unionByName(missing, allowMissingColumns=True)
 
 
 def _entity_level(rows: DataFrame, keys: list[str], target: str, score: str, threshold: float) -> DataFrame:
@@ -365,7 +365,7 @@ def slice_month_comparison(
         "important_slice string, slice_feature string, slice_value string, evaluation_period string",
     )
     zero = F.lit(0)
-    full = F.broadcast(grid).join(table, keys, "left").withColumn(
+    full = grid.join(table, keys, "left").withColumn(
         "sample_status",
         support_status(
             F.coalesce("observations", zero), F.coalesce("projects", zero), F.coalesce("events", zero)

@@ -12,6 +12,8 @@ from ..sources.panel import customer_month, supplier_month, typed_panel
 
 TARGET = "future_schedule_later_3m"
 BASELINE, CHALLENGER = "BASELINE", "CHALLENGER"
+#: Forward periods of the entity-disjoint evaluation; the test part has both classes.
+DISJOINT = {"train": (None, "2023-12"), "validation": ("2024-01", "2024-06"), "test": ("2024-07", None)}
 
 
 def supplier_panel(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,13 +12,18 @@ from ..operators import calibration, compare, drift, metrics, policy, slices
 from ..operators.features import build_features
 from ..operators.modelling import ALL_FEATURES, DRIFTING, STABLE, conditional_review as review_conditional
 from ..operators.splits import with_disjoint_split
-from .inputs import BASELINE, CHALLENGER, TARGET as Y, baseline_predictions, predictions, stored_predictions, supervised, supplier_panel
+from .inputs import BASELINE, CHALLENGER, DISJOINT, TARGET as Y, baseline_predictions, predictions, stored_predictions, supervised, supplier_panel
 from .registry import query
 from .sqltext import FEATURES, LABELS, PRED, SUPERVISED, SUPPLIER, ratio, ratio0, rnd, with_
 
 P = "probability"
 
 
+def _test_part(rows):
+    """Rows of the entities and months that an entity-disjoint evaluation tests on."""
+    return with_disjoint_split(rows, DISJOINT).where(F.col("part") == "test")
+
+
 def _confusion(threshold: float, model: str = "") -> str:
     t = f"CAST({threshold!r} AS DOUBLE)"
     return (
@@ -236,6 +241,27 @@ def score_distribution(spark, folder):
     return metrics.rounded(calibration.score_distribution(predictions(spark, folder), Y, P, ["model"]))
 
 
+_DISJOINT_SQL = """, buckets AS (SELECT *, CASE WHEN s5 % 2 = parity THEN s5 ELSE s5 + 5 END AS bucket FROM (
+     SELECT *, list_sum(list_transform(string_split(sha256(identity_key), ''), lambda c: strpos('0123456789abcdef', c) - 1)) % 5 AS s5,
+        (strpos('0123456789abcdef', right(sha256(identity_key), 1)) - 1) % 2 AS parity FROM predictions)),
+   held AS (SELECT * FROM buckets WHERE bucket BETWEEN 8 AND 9 AND prediction_month >= '2024-07')"""
+
+
+def _summary_sql(by: str, where: str, lead: str = "") -> str:
+    """Calibration summary of some of the predictions, per group."""
+    source = "chosen"
+    bins = _BINS.replace("model", by).replace("FROM predictions", f"FROM {source}")
+    ece = _ECE.replace("model", by)
+    return with_(
+        f"""{lead}, {source} AS ({where}), {bins}, {ece}
+        SELECT d.*, round(b, 6) AS brier_score, round(pb, 6) AS prevalence_only_brier, {rnd('1 - b / pb')} AS brier_skill,
+          round(ece, 6) AS ece_10_equal_width, {rnd('mp - er')} AS mean_minus_event_rate
+        FROM ({_distribution(by)}) d JOIN ({_brier(by)}) USING ({by}) JOIN ece USING ({by})
+        JOIN (SELECT {by}, avg({P}) AS mp, avg({Y}) AS er FROM predictions GROUP BY 1) USING ({by})""".replace("FROM predictions", f"FROM {source}"),
+        *PRED,
+    ).replace("__ALL__", "predictions")
+
+
 @query(
     "calibration_summary",
     with_(
@@ -257,9 +283,10 @@ def calibration_intercept_slope(spark, folder):
     return metrics.rounded(calibration.calibration_intercept_slope(stored_predictions(spark, folder), Y, P, ["model"]))
 
 
-@query("fold_calibration")
+@query("fold_calibration", _summary_sql("fold", f"SELECT * FROM __ALL__ WHERE model = '{BASELINE}'"))
 def fold_calibration(spark, folder):
-    return metrics.rounded(calibration.calibration_summary(stored_predictions(spark, folder).where(F.col("model") == BASELINE), Y, P, ["fold"]))
+    rows = stored_predictions(spark, folder).where(F.col("model") == BASELINE)
+    return metrics.rounded(calibration.calibration_summary(rows, Y, P, ["fold"], diagnostic=False))
 
 
 _FOLD_METRICS = f"""fold_metrics AS (SELECT fold, round(avg({Y}), 6) AS event_rate, round(avg({P}), 6) AS mean_predicted_score,
@@ -323,16 +350,16 @@ def slice_calibration(spark, folder):
     return metrics.rounded(calibration.slice_calibration(stored_predictions(spark, folder).where(F.col("model") == BASELINE), Y, P))
 
 
-@query("entity_disjoint_calibration")
+@query("entity_disjoint_calibration", _summary_sql("model", f"SELECT * FROM held WHERE model = '{BASELINE}'", _DISJOINT_SQL.replace("FROM predictions", "FROM __ALL__")))
 def entity_disjoint_calibration(spark, folder):
-    tagged = with_disjoint_split(stored_predictions(spark, folder).where(F.col("model") == BASELINE)).where(F.col("part") == "train")
-    return metrics.rounded(calibration.calibration_summary(tagged, Y, P, []))
+    tagged = _test_part(stored_predictions(spark, folder).where(F.col("model") == BASELINE))
+    return metrics.rounded(calibration.calibration_summary(tagged, Y, P, ["model"], diagnostic=False))
 
 
 @query("calibration_verdict")
 def calibration_verdict(spark, folder):
     rows = stored_predictions(spark, folder).where(F.col("model") == BASELINE)
-    disjoint = with_disjoint_split(rows).where(F.col("part") == "train")
+    disjoint = _test_part(rows)
     return calibration.calibration_verdict(
         calibration.calibration_summary(rows, Y, P, []),
         calibration.calibration_summary(rows, Y, P, ["fold"], diagnostic=False),
@@ -852,14 +879,8 @@ def comparison_summary(spark, folder):
     return compare.comparison_summary(_fold_pairs(spark, folder), BASELINE, CHALLENGER)
 
 
-_DISJOINT_SQL = """, buckets AS (SELECT *, CASE WHEN s5 % 2 = parity THEN s5 ELSE s5 + 5 END AS bucket FROM (
-     SELECT *, list_sum(list_transform(string_split(sha256(identity_key), ''), lambda c: strpos('0123456789abcdef', c) - 1)) % 5 AS s5,
-        (strpos('0123456789abcdef', right(sha256(identity_key), 1)) - 1) % 2 AS parity FROM predictions)),
-   held AS (SELECT * FROM buckets WHERE bucket <= 5 AND prediction_month <= '2025-12')"""
-
-
 def _held_out(spark, folder):
-    return with_disjoint_split(predictions(spark, folder)).where(F.col("part") == "train")
+    return _test_part(predictions(spark, folder))
 
 
 @query(
@@ -941,12 +962,17 @@ def run_comparison_summary(spark, folder):
     return metrics.rounded(compare.run_comparison_summary(compared, "fold", _RUN_METRICS))
 
 
+_LANES = " || '-' || ".join(
+    f"CAST(sum(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT)::HUGEINT) AS VARCHAR)" for i in range(4)
+)
+
+
 @query(
     "prediction_summary",
     with_(
         f"""SELECT model, fold, count(*) AS prediction_length, min({P}) AS prediction_min, max({P}) AS prediction_max, round(avg({P}), 6) AS prediction_mean,
-          CAST(sum(CAST('0x' || substr(sha256(identity_key || '|' || prediction_month || '|' || printf('%.12f', {P})), 1, 12) AS BIGINT)::HUGEINT) AS VARCHAR) AS prediction_digest
-        FROM predictions GROUP BY 1, 2""",
+          {_LANES} AS prediction_digest
+        FROM (SELECT *, sha256(identity_key || '|' || prediction_month || '|' || printf('%.12f', {P})) AS h FROM predictions) GROUP BY 1, 2""",
         *PRED,
     ),
 )

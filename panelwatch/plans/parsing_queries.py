@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import months, numbers, text
-from ..functions.lexicon import FLEXIBLE_MONTH, MONTH_NAMES, STATES, state_labels
+from ..functions.lexicon import FLEXIBLE_MONTH, MONTH_NAMES, STATE_LABELS, STATES
 from ..sources.panel import table
 from .registry import query
 from .sqltext import js, month_label, month_text, parse_month, quoted, rnd, sql_list, with_
@@ -372,7 +372,7 @@ def longest_state_match(spark, folder):
     return rows.select("o_orderkey", text.longest_match(F.col("line")).alias("state"))
 
 
-_LABELS = state_labels()
+_LABELS = STATE_LABELS
 _PRINTED = f"CASE form WHEN 0 THEN 'UNKNOWN PLACE' ELSE {sql_list(_LABELS)}[o_custkey % {len(_LABELS)} + 1] END"
 
 

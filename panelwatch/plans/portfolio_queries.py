@@ -222,9 +222,9 @@ def change_feed(spark, folder):
     "change_summaries",
     with_(
         f"""SELECT 'projects newly elevated' AS summary, count(*) AS projects FROM risk_events WHERE {_NEWLY}
-        UNION ALL SELECT 'cost escalation signals', count(*) FROM feed WHERE type = 'cost'
-        UNION ALL SELECT 'schedule deterioration signals', count(*) FROM feed WHERE type = 'schedule'
-        UNION ALL SELECT 'projects improved', count(*) FROM feed WHERE type = 'improvement'""",
+        UNION ALL SELECT 'cost escalation signals', count(*) FROM events_all WHERE type = 'cost'
+        UNION ALL SELECT 'schedule deterioration signals', count(*) FROM events_all WHERE type = 'schedule'
+        UNION ALL SELECT 'projects improved', count(*) FROM events_all WHERE type = 'improvement'""",
         *_BASE4,
     ),
 )
@@ -349,7 +349,7 @@ _ANOMALIES = f"""members AS (
   SELECT 'a1' AS anomaly, project_id FROM latest WHERE {_SHARE} > 0.55::DOUBLE AND progress < 50
   UNION ALL SELECT 'a2', project_id FROM latest WHERE {_G} > 0.15::DOUBLE
   UNION ALL SELECT 'a3', project_id FROM latest WHERE delay_months > 6 AND risk_change > 0
-  UNION ALL SELECT DISTINCT 'a4', project_id FROM feed WHERE type = 'progress')"""
+  UNION ALL SELECT DISTINCT 'a4', project_id FROM events_all WHERE type = 'progress')"""
 
 
 @query("anomaly_members", with_("SELECT * FROM members", *_BASE4, _ANOMALIES))

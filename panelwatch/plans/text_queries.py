@@ -378,6 +378,36 @@ def printed_total_reconciliation(spark, folder):
     return records.printed_totals(_supplier_lines(spark, folder))
 
 
+_FALSE = "297000 + 10 * sl_no + 100000 * (i % 2)"
+
+
+@query(
+    "serial_continuity",
+    with_(
+        f""", printed AS (SELECT source_file AS file, sl_no, i, CASE WHEN i < k THEN {_FALSE} ELSE sl_no + 1 END AS serial
+             FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM (SELECT source_file, sl_no::BIGINT AS sl_no, CASE WHEN sl_no % 13 = 3 THEN 4 WHEN sl_no % 7 = 2 THEN 2 ELSE 0 END AS k FROM panel))),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY sl_no, i) AS n FROM printed),
+        walk AS (SELECT file, n, serial AS last, true AS accepted FROM numbered WHERE n = 1
+          UNION ALL SELECT s.file, s.n, CASE WHEN abs(s.serial - w.last) <= greatest(200, w.last * 0.5) THEN s.serial ELSE w.last END,
+            abs(s.serial - w.last) <= greatest(200, w.last * 0.5) FROM walk w JOIN numbered s ON s.file = w.file AND s.n = w.n + 1)
+        SELECT w.file, s.serial FROM walk w JOIN numbered s USING (file, n) WHERE w.accepted""",
+        SUPPLIER,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def serial_continuity(spark, folder):
+    """Serials kept where two or four false ones stand before a true one."""
+    number = F.col("sl_no").cast("long")
+    extra = F.when(number % 13 == 3, 4).when(number % 7 == 2, 2).otherwise(0)
+    printed = supplier_month(spark, folder).select(
+        F.col("source_file").alias("file"), number.alias("page"), F.posexplode(F.sequence(F.lit(0), extra)).alias("position", "i"), extra.alias("k")
+    )
+    false = F.lit(297000) + F.col("page") * 10 + (F.col("i") % 2) * 100000
+    serial = F.when(F.col("i") < F.col("k"), false).otherwise(F.col("page") + 1)
+    return records.accepted_serials(
+        lines.classified(printed.withColumn("line", F.concat(serial.cast("string"), F.lit(" Bihar 10.5 60"))))
+    ).select("file", "serial")
+
+
 @query(
     "serial_completeness",
     with_(

@@ -13,7 +13,7 @@ PAGE_BANNER = "Table 6: All Ongoing Projects"
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Each document as one page of the file named by its source."""
     return table(spark, folder, "documents").select(
-        F.col("source").alias("file"), F.col("doc_id").cast("int").alias("page"), "text"
+        F.col("source").alias("file"), F.col("doc_id").cast("long").alias("page"), "text"
     )
 
 
@@ -21,7 +21,7 @@ def html_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Each web page as one page of the file named by its host, one line per tag."""
     return table(spark, folder, "pages").select(
         F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("file"),
-        F.col("page_id").cast("int").alias("page"),
+        F.col("page_id").cast("long").alias("page"),
         F.regexp_replace("html", r">\s*<", ">\n<").alias("text"),
     )
 

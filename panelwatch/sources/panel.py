@@ -171,7 +171,7 @@ def _panel_from_facts(facts: DataFrame, places: DataFrame, file_prefix: str) ->
     label = month_label(month)
     return windowed.join(places, "entity").select(
         label.alias("report_month"),
-        entity.cast("int").alias("sl_no"),
+        entity.cast("long").alias("sl_no"),
         code.alias("project_code"),
         legacy.alias("legacy_ocms_code"),
         status.alias("identifier_status"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.lexicon import REPORT_TYPES
 from ..functions.months import month_from_path
-from ..functions.text import parse_currency, parse_numeric, parse_paren_costs, strip
+from ..functions.text import parse_currency, parse_numeric, parse_paren_costs, strip, summed_hashes
 
 QUOTED_OR_PLAIN_FIELD = r',("(?:[^"]|"")*"|[^,]*)'
 
@@ -163,7 +163,7 @@ def routing_counts(files: DataFrame) -> DataFrame:
 def write_reports(tables: dict[str, DataFrame], folder: str) -> None:
     """Write each table as CSV, ordered by month."""
     for name, table in tables.items():
-        table.orderBy("report_month").write.mode("overwrite").csv(f"{folder}/{name}", header=True)
+        table.repartitionByRange("report_month").sortWithinPartitions("report_month").write.mode("overwrite").csv(f"{folder}/{name}", header=True)
 
 
 def split_periods(panel: DataFrame, layout: Column) -> tuple[DataFrame, DataFrame]:
@@ -219,18 +219,16 @@ def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataF
 
 
 def manifest_summary(manifest: DataFrame, expected_files: int | None = None) -> DataFrame:
-    """File count, total bytes, digest over the name-ordered entries, and the count check.
+    """File count, total bytes, a digest of all entries, and the count check.
 
-    One short entry per file is gathered, never the file contents.
+    The entries' hashes are summed, so nothing is gathered, however many files there are.
     """
     entry = F.concat_ws(":", "file_name", F.col("size_bytes").cast("string"), "sha256")
-    entries = F.array_sort(F.collect_list(F.struct("file_name", entry.alias("entry"))))
-    text = F.array_join(F.transform(entries, lambda e: e["entry"]), "\n")
     intact = F.lit(True) if expected_files is None else F.count("*") == expected_files
     return manifest.agg(
         F.count("*").alias("file_count"),
         F.sum("size_bytes").alias("total_bytes"),
-        F.sha2(text, 256).alias("aggregate_sha256"),
+        F.sha2(summed_hashes(F.sha2(entry, 256)), 256).alias("aggregate_sha256"),
         intact.alias("intact"),
     )
 

@@ -225,3 +225,12 @@ def test_run_comparison_finds_the_first_divergence(spark):
     compared = compare.run_comparison(first, second, "fold", ["m"], 1e-9)
     row = one(compare.run_comparison_summary(compared, "fold", ["m"]))
     assert row.compared == 4 and row.first_divergent == 2 and not row.all_within_tolerance
+
+
+def test_the_disjoint_test_part_has_both_classes(spark):
+    from panelwatch.plans.inputs import DISJOINT, TARGET, supervised
+    from panelwatch.operators.splits import with_disjoint_split
+
+    rows = with_disjoint_split(supervised(spark, "/root/testdata/sf0.01"), DISJOINT).where("part = 'test'")
+    counts = {r[TARGET]: r["count"] for r in rows.groupBy(TARGET).count().collect()}
+    assert counts[0] > 20 and counts[1] > 5

@@ -119,3 +119,55 @@ def test_layout_audit(spark):
 def test_section_pages(spark):
     row = one(lines.section_pages(page_frame(spark, "cover", PAGE_1, PAGE_2)))
     assert (row.first_page, row.last_page, row.section_pages) == (55, 56, 2)
+
+
+def sequential(serials):
+    last, kept = None, []
+    for serial in serials:
+        if last is None or abs(serial - last) <= max(200, last * 0.5):
+            kept.append(serial)
+            last = serial
+    return kept
+
+
+def test_serials_are_judged_as_if_read_in_order(spark):
+    import random
+
+    rng = random.Random(2)
+    cases = [
+        [10, 297700, 297710, 11, 12, 13], [10, 297700, 297710, 11, 12, 13, 14, 15, 16],
+        [10, 297700, 297710, 297720, 11, 12, 13, 14], [10, 297700, 5000, 297710, 5010, 11, 12],
+        [1, 900, 2, 900, 3, 900, 4], [5], [297700, 1, 2, 3],
+    ]
+    for _ in range(6):
+        case, serial = [], 1
+        for _ in range(60):
+            case += [rng.choice([serial + 150_000, 9000 + rng.randint(0, 50)]) for _ in range(rng.choice([0, 0, 0, 1, 2, 3, 4]))]
+            case.append(serial)
+            serial += 1
+        cases.append(case)
+    rows = [(f"f{n}", i // 7 + 1, i % 7, f"{s} Bihar 10.5 60") for n, case in enumerate(cases) for i, s in enumerate(case)]
+    frame = lines.classified(spark.createDataFrame(rows, "file string, page long, position int, line string"))
+    got = {}
+    for r in records.accepted_serials(frame).orderBy("file", "page", "position").collect():
+        got.setdefault(r.file, []).append(r.serial)
+    assert got == {f"f{n}": sequential(case) for n, case in enumerate(cases)}
+    assert got["f0"] == [10, 11, 12, 13]
+
+
+def test_older_layout_prints_the_start_on_the_serial_line(spark):
+    text = "Some road project\n1 (Agency One) Bihar 10/2018 1046.48 94\n(100.50)\n2 Assam, Bihar 01/2020 5 60"
+    pages = spark.createDataFrame([("f", 1, text)], "file string, page long, text string")
+    rows = {r.sl_no: r for r in records.extract_records(lines.page_lines(pages), layout="OLD_FORMAT_A").collect()}
+    assert (rows[1].start_date, rows[1].state, rows[1].agency) == ("10/2018", "Bihar", "Agency One")
+    assert (rows[1].expenditure, rows[1].physical_progress) == (1046.48, 94.0)
+    assert (rows[2].start_date, rows[2].state) == ("01/2020", "Assam, Bihar,")
+    newer = {r.sl_no: r for r in records.extract_records(lines.page_lines(pages)).collect()}
+    assert newer[1].start_date is None
+
+
+def test_boilerplate_of_another_source_is_passed_down(spark):
+    pages = spark.createDataFrame([("f", 1, "(SOURCE SYSTEM)\nA project\n1 Bihar 5.5 60")], "file string, page long, text string")
+    own = lines.BOILERPLATE + (r"\(SOURCE SYSTEM\)",)
+    rows = records.extract_records(lines.page_lines(pages), boilerplate=own).collect()
+    assert [r.project_name for r in rows] == ["A project"]
