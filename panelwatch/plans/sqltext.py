@@ -110,7 +110,7 @@ windowed AS (
   WINDOW w AS (PARTITION BY entity ORDER BY month_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 panel AS (
   SELECT {month_label('month_number')} AS report_month,
-         CAST(entity AS INTEGER) AS sl_no,
+         CAST(entity AS BIGINT) AS sl_no,
          CASE WHEN entity % 10 <> 0 THEN CAST(entity + 100000 AS VARCHAR) END AS project_code,
          CASE WHEN entity % 20 = 0 THEN 'N' || lpad(CAST(entity AS VARCHAR), 8, '0') END AS legacy_ocms_code,
          CASE WHEN entity % 10 <> 0 THEN 'PRIMARY_IDENTIFIER' WHEN entity % 20 = 0 THEN 'ALTERNATE_IDENTIFIER'

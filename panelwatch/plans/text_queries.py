@@ -24,8 +24,8 @@ def _split(source: str) -> str:
       SELECT file, page, unnest(range(len(parts))) AS i, unnest(parts) AS raw FROM (SELECT *, string_split(text, chr(10)) AS parts FROM {source})))"""
 
 
-_DOCUMENTS = "document_pages AS (SELECT source AS file, CAST(doc_id AS INTEGER) AS page, text FROM documents)"
-_HTML = """html_pages AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS file, CAST(page_id AS INTEGER) AS page,
+_DOCUMENTS = "document_pages AS (SELECT source AS file, CAST(doc_id AS BIGINT) AS page, text FROM documents)"
+_HTML = """html_pages AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS file, CAST(page_id AS BIGINT) AS page,
   regexp_replace(html, '>\\s*<', '>' || chr(10) || '<', 'g') AS text FROM pages)"""
 
 
