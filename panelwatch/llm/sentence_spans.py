@@ -1,9 +1,11 @@
 """Substring dedup over sliding runs of sentences.
 
 A text is cut into sentences at line ends and after end marks, and inside a sentence after each word
-whose hash is a multiple of ``CUT``. All cuts depend on the words next to them alone, so a passage is
-cut alike wherever it stands, and one of 50 words holds whole spans even inside a longer sentence. From every
-such sentence runs the shortest span of at least ``SENTENCES`` of them and ``WORDS`` words; its
+whose hash is the smallest, ties included, of some ``NEAR`` words in a row; a word before an end mark
+counts as smaller than any other there. So every ``NEAR`` words in a row hold a cut, whatever the
+words are, and a run of equal words is cut after each. A cut depends on ``NEAR`` - 1 words to each
+side and the marks between them, so a passage is cut alike wherever it stands, but for that many words
+at its ends: one of 4 * ``NEAR`` + 10 words, 42, always holds a whole span. From every such sentence runs the shortest span of at least ``SENTENCES`` of them and ``WORDS`` words; its
 normalised words are hashed and counted over all documents. The first occurrence of a span, by
 document and position, stays; every sentence under a later one goes. Hashes are counted first and
 only those found again go on, with their first place as an aggregate, so a passage that a third
@@ -33,8 +35,8 @@ from .hashed_text import IN_WORD, LOWER
 #: A span has at least so many sentences and so many words.
 SENTENCES = 2
 WORDS = 12
-#: One word in so many ends a sentence by its hash.
-CUT = 12
+#: So many words in a row hold the end of a sentence.
+NEAR = 8
 #: Bytes read at a time; more where a single sentence is longer.
 PIECE = 1 << 20
 
@@ -64,6 +66,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _over(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """The least or most of each n values in a row."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        values = pick(values[:-step], values[step:])
+        size += step
+    return values
+
+
 def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the words, their hashes, and the number of the first word of each sentence."""
     low = LOWER[data]
@@ -73,7 +85,14 @@ def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums, undo = _sums(low.astype(np.uint64) + np.uint64(1), _FACTORS[0])
     words = _mixed((sums[ends] - sums[starts]) * undo[starts])
     marks = np.concatenate([[0], np.cumsum(_ENDS[low])])
-    after = (marks[starts[1:]] > marks[ends[:-1]]) | (words[:-1] % np.uint64(CUT) == 0)
+    after = marks[starts[1:]] > marks[ends[:-1]]
+    if len(words) >= NEAR:
+        order = words.copy()
+        order[:-1][after] = 0
+        edge = np.zeros(NEAR - 1, dtype=np.uint64)
+        least = np.concatenate([edge, _over(order, NEAR, np.minimum), edge])
+        # the greatest of the minima around a word is its own where it is one of them
+        after = after | (order == _over(least, NEAR, np.maximum))[:-1]
     first = np.flatnonzero(np.concatenate([[len(words) > 0], after]))
     return starts, words, first
 
@@ -81,13 +100,15 @@ def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two hashes, begin and end of each span, in bytes of the text."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    found, at, size = [], 0, PIECE
+    found, at, size, back = [], 0, PIECE, 0
     with np.errstate(over="ignore"):
         while at < len(data):
             last = at + size >= len(data)
-            starts, words, first = _cut(data[at : at + size])
-            # the last sentence of a part may go on behind it
-            bounds = np.append(first, len(words)) if last else first
+            # cuts depend on the words before the part and behind it
+            starts, words, first = _cut(data[back : at + size])
+            begin = np.searchsorted(starts, at - back)
+            bounds = np.concatenate([np.arange(begin, len(words))[:1], first[first > begin]])
+            bounds = np.append(bounds, len(words)) if last else bounds[bounds <= len(words) - NEAR]
             n = max(0, len(bounds) - 1)
             here = np.arange(n)
             stop = np.maximum(here + SENTENCES, np.searchsorted(bounds, bounds[:n] + WORDS))
@@ -97,13 +118,13 @@ def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
             for factor in _FACTORS:
                 sums, undo = _sums(words, factor)
                 hashes.append(_mixed((sums[b] - sums[a]) * undo[a]).view(np.int64))
-            places = np.append(starts, min(size, len(data) - at)) + at
+            places = np.append(starts + back, min(at + size, len(data)))
             found.append((*hashes, places[a], places[b]))
             if last:
                 break
             done = int(whole.sum())
             if done:
-                at, size = int(places[bounds[done]]), PIECE
+                at, size, back = int(places[bounds[done]]), PIECE, int(places[max(0, bounds[done] - NEAR + 1)])
             else:
                 size *= 2
     none = np.empty(0, dtype=np.int64)

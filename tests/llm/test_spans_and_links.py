@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -135,6 +136,69 @@ def test_a_very_long_text_is_cut_like_a_short_one():
     assert len(unbroken[0]) == 0
 
 
+def own_spans(text):
+    """Spans as (words, first byte, last byte), by the definition and without the operator's functions."""
+
+    def order(word):
+        x, m = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(word)) % (1 << 64), (1 << 64) - 1
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & m
+        x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & m
+        return x ^ (x >> 32)
+
+    data, near = text.lower().encode(), sentence_spans.NEAR
+    found = list(re.finditer(rb"[0-9a-z\x80-\xff]+", data))
+    words, starts = [m.group() for m in found], [m.start() for m in found] + [len(data)]
+    marked = [bool(re.search(rb"[.!?\n]", data[a.end() : b.start()])) for a, b in zip(found, found[1:])] + [False]
+    ranks = [0 if m else order(w) for w, m in zip(words, marked)]
+    cut = {i for i, m in enumerate(marked) if m}
+    for i in range(len(words) - near + 1):
+        cut |= {j for j in range(i, i + near) if ranks[j] == min(ranks[i : i + near])}
+    bounds = sorted({0, len(words)} | {i + 1 for i in cut})
+    out = []
+    for k, a in enumerate(bounds):
+        ends = [b for n, b in enumerate(bounds) if n >= k + 2 and b >= a + 12]
+        if ends:
+            out.append((tuple(words[a : ends[0]]), starts[a], starts[ends[0]]))
+    return out
+
+
+@pytest.mark.parametrize("size, vocabulary", [(42, 5000), (51, 5000), (51, 300), (51, 12)])
+def test_every_unmarked_passage_is_found_wherever_it_stands(spark, size, vocabulary):
+    rng = random.Random(size * vocabulary)
+    words, other = ["w%d" % i for i in range(vocabulary)], ["v%d" % i for i in range(5000)]
+
+    def prose(n, names=other):
+        return " ".join(rng.choice(names) for _ in range(n))
+
+    passages = [prose(size, words) for _ in range(150)]
+    texts = [" ".join([prose(rng.randint(0, 90)), p, prose(rng.randint(0, 90))]) for p in passages + passages]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sentence_spans.deduplicated(docs).collect()}
+    seen, want = {}, {}
+    for i, text in enumerate(texts):
+        gone = set()
+        for key, a, b in own_spans(text):
+            if seen.setdefault(key, (i, a)) != (i, a):
+                gone.update(range(a, b))
+        want[i] = len(gone)
+    assert {i: r.n_removed for i, r in got.items()} == want
+    assert all(len(texts[i].split()) - len(got[i].kept.split()) >= 12 for i in range(150, 300))
+
+
+def test_equal_words_in_a_row_are_cut_after_each():
+    assert sentence_spans.spans("again " * 40)[2].tolist() == [6 * i for i in range(29)]
+
+
+def test_spans_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(9)
+    text = "".join(rng.choice(["so", "wörd", "other", "x%d" % rng.randint(0, 900)]) + rng.choice([" "] * 9 + [". "]) for _ in range(3000))
+    whole = [x.tolist() for x in sentence_spans.spans(text)]
+    assert list(zip(*whole[2:])) == [(a, b) for _, a, b in own_spans(text)]
+    for piece in (150, 997, 4096):
+        monkeypatch.setattr(sentence_spans, "PIECE", piece)
+        assert [x.tolist() for x in sentence_spans.spans(text)] == whole
+
+
 def test_sentences_of_odd_rows(spark):
     docs = odd_documents(spark)
     assert ids(sentence_spans.deduplicated(docs).collect()) == ALL_IDS
