@@ -434,6 +434,26 @@ def id_quality(spark, folder):
     )
 
 
+@query(
+    "id_quality_all_months",
+    with_(
+        """, ids AS (SELECT CASE WHEN sl_no % 50 = 7 THEN 'Q:' || sl_no ELSE identity_key END AS identity_key FROM typed),
+        per AS (SELECT identity_key, count(*) AS n, regexp_matches(identity_key, '^[PL]:[^\\s]+$') AS ok FROM ids GROUP BY 1)
+        SELECT CAST(coalesce(sum(n) FILTER (WHERE identity_key IS NULL), 0) AS BIGINT) AS missing_ids,
+               CAST(coalesce(sum(n) FILTER (WHERE NOT ok), 0) AS BIGINT) AS malformed_ids,
+               CAST(coalesce(sum(n) FILTER (WHERE ok AND n > 1), 0) AS BIGINT) AS duplicate_project_rows,
+               count(*) FILTER (WHERE ok AND n > 1) AS duplicate_project_ids FROM per""",
+        CUSTOMER,
+    ),
+)
+def id_quality_all_months(spark, folder):
+    """``id_quality`` over every row of the panel."""
+    bad = F.concat(F.lit("Q:"), F.col("sl_no").cast("string"))
+    return history.id_quality(
+        customer_panel(spark, folder).select(F.when(F.col("sl_no") % 50 == 7, bad).otherwise(F.col("identity_key")).alias("identity_key"))
+    )
+
+
 @query(
     "reporting_period_check",
     with_(

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,19 @@ def test_holdout_is_refused_when_empty_or_overlapping(spark):
         history.require_separation(development, development, "2026-04", "2026-05")
 
 
+def test_ids_of_all_months_are_counted(spark, data):
+    from panelwatch.plans import all_queries
+    from panelwatch.plans.inputs import customer_panel
+
+    rows = [("Q:" if r.sl_no % 50 == 7 else r.identity_key) for r in customer_panel(spark, data).select("sl_no", "identity_key").collect()]
+    known = Counter(i for i in rows if i is not None and i != "Q:")
+    got = one(all_queries()["id_quality_all_months"](spark, data))
+    assert (got.missing_ids, got.malformed_ids) == (rows.count(None), rows.count("Q:"))
+    assert got.duplicate_project_rows == sum(n for n in known.values() if n > 1)
+    assert got.duplicate_project_ids == sum(n > 1 for n in known.values())
+    assert got.malformed_ids > one(all_queries()["id_quality"](spark, data)).malformed_ids
+
+
 def test_fold_bounds_have_an_embargo():
     assert splits.fold_bounds()[0] == ("2025-07", "2025-07", "2025-11")
     assert splits.fold_bounds()[-1] == ("2025-07", "2025-12", "2026-04")
