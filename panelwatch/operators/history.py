@@ -255,9 +255,9 @@ def schema_gate(spark: SparkSession, panel: DataFrame) -> DataFrame:
     )
 
 
-def period_check(panel: DataFrame, month: str) -> DataFrame:
-    """Whether the batch is non-empty and every row is in the expected month."""
-    return panel.agg(
+def period_check(panel: DataFrame, month: str | Column, by: list[str] | None = None) -> DataFrame:
+    """Whether the batch, or each one of ``by``, is non-empty and every row is in the expected month."""
+    return panel.groupBy(*(by or [])).agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("report_month").isNull() | (F.col("report_month") != month)).alias("other_month_rows"),
         (

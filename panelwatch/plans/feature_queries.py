@@ -468,6 +468,24 @@ def reporting_period_check(spark, folder):
     return history.period_check(rows, "2026-08")
 
 
+@query(
+    "reporting_period_by_month",
+    with_(
+        """, batches AS (SELECT report_month, unnest([report_month,
+               strftime(CAST(report_month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m')]) AS expected FROM typed)
+           SELECT report_month AS batch, expected, count(*) AS rows, count(*) FILTER (WHERE report_month <> expected) AS other_month_rows,
+                  count(*) FILTER (WHERE report_month <> expected) = 0 AS reporting_period_valid
+           FROM batches GROUP BY 1, 2""",
+        CUSTOMER,
+    ),
+)
+def reporting_period_by_month(spark, folder):
+    """Each month of the panel as a batch of its own, checked against itself and against the next month."""
+    following = F.date_format(F.add_months(F.to_date(F.concat("report_month", F.lit("-01"))), 1), "yyyy-MM")
+    rows = customer_panel(spark, folder).select("report_month", F.col("report_month").alias("batch"), F.explode(F.array("report_month", following)).alias("expected"))
+    return history.period_check(rows, F.col("expected"), ["batch", "expected"])
+
+
 @query(
     "incoming_batch_gate",
     with_(

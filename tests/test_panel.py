@@ -230,6 +230,27 @@ def test_ids_of_all_months_are_counted(spark, data):
     assert got.malformed_ids > one(all_queries()["id_quality"](spark, data)).malformed_ids
 
 
+def test_each_month_is_valid_for_itself_alone(spark, data):
+    from panelwatch.plans import all_queries
+    from panelwatch.plans.inputs import customer_panel
+
+    months = Counter(r.report_month for r in customer_panel(spark, data).select("report_month").collect())
+    got = all_queries()["reporting_period_by_month"](spark, data).collect()
+    assert len(got) == 2 * len(months) > 2
+    for r in got:
+        own = r.batch == r.expected
+        assert (r.rows, r.other_month_rows, r.reporting_period_valid) == (months[r.batch], 0 if own else months[r.batch], own)
+
+
+def test_the_boundary_guard_refuses_the_unfiltered_rows(spark, data):
+    from panelwatch.plans.inputs import TARGET, supervised
+
+    rows = supervised(spark, data)
+    assert rows.where("prediction_month > '2026-04'").count() > 0
+    with pytest.raises(Exception, match="past the labelled boundary"):
+        splits.labelled_scope(rows, TARGET, "2026-04").collect()
+
+
 def test_fold_bounds_have_an_embargo():
     assert splits.fold_bounds()[0] == ("2025-07", "2025-07", "2025-11")
     assert splits.fold_bounds()[-1] == ("2025-07", "2025-12", "2026-04")
