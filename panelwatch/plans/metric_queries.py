@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration, compare, drift, metrics, policy, slices
 from ..operators.features import build_features
-from ..operators.modelling import ALL_FEATURES, DRIFTING, STABLE, conditional_review as review_conditional
+from ..operators.modelling import ALL_FEATURES, DRIFTING, STABLE, conditional_review as review_conditional, split_features
 from ..operators.splits import with_disjoint_split
 from .inputs import BASELINE, CHALLENGER, DISJOINT, TARGET as Y, baseline_predictions, predictions, stored_predictions, supervised, supplier_panel
 from .registry import query
@@ -1168,3 +1168,54 @@ def importance_ranking(spark, folder):
     pairs = F.array(*[F.struct(F.lit(n).alias("feature_name"), F.col(n).alias("importance")) for n in names])
     importances = stats.select("fold", F.explode(pairs).alias("p")).select("fold", "p.*")
     return metrics.rounded(compare.importance_ranking(importances, set(STABLE), set(DRIFTING), 3))
+
+
+_NUMERIC, _TEXT = split_features(ALL_FEATURES)
+_RANKED = ", ".join(f"'{f}'" for f in STABLE), ", ".join(f"'{f}'" for f in DRIFTING)
+
+
+def _share(part: str, whole: str) -> str:
+    return f"CASE WHEN {whole} > 0 THEN sqrt({part} / {whole}) ELSE 0 END"
+
+
+@query(
+    "correlation_ranking",
+    with_(
+        ", base AS (SELECT * FROM predictions WHERE model = 'BASELINE'), imp AS ("
+        + " UNION ALL ".join(
+            [
+                f"""SELECT fold, '{f}' AS feature_name, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0
+                    THEN abs(covar_pop(x, y)) / sqrt(var_pop(x) * var_pop(y)) ELSE 0 END AS importance
+                    FROM (SELECT fold, CAST({f} AS DOUBLE) AS x, CASE WHEN {f} IS NOT NULL THEN CAST({Y} AS DOUBLE) END AS y FROM base) GROUP BY fold"""
+                for f in _NUMERIC
+            ]
+            + [
+                f"""SELECT fold, '{f}', {_share('greatest(0, sum(s * s / n) - sum(s) * sum(s) / sum(n))', '(sum(s) - sum(s) * sum(s) / sum(n))')}
+                    FROM (SELECT fold, count({f})::DOUBLE AS n, CAST(sum(CASE WHEN {f} IS NOT NULL THEN {Y} ELSE 0 END) AS DOUBLE) AS s
+                          FROM base GROUP BY fold, {f}) WHERE n > 0 GROUP BY fold"""
+                for f in _TEXT
+            ]
+        )
+        + f""") SELECT feature_name, round(avg(importance), 6) AS mean_importance, round(stddev_pop(importance), 6) AS sd_importance,
+          feature_name IN ({_RANKED[0]}) AS stable_feature, feature_name IN ({_RANKED[1]}) AS prior_drift_flag FROM imp GROUP BY 1""",
+        *PRED,
+    ),
+)
+def correlation_ranking(spark, folder):
+    """Every feature by the size of its correlation with the target, per fold; for text, the correlation ratio."""
+    rows = baseline_predictions(spark, folder)
+    pairs = [F.struct(F.lit(f).alias("feature_name"), F.col(f).cast("double").alias("x"), F.lit(None).cast("string").alias("v")) for f in _NUMERIC]
+    pairs += [F.struct(F.lit(f).alias("feature_name"), F.lit(None).cast("double").alias("x"), F.col(f).alias("v")) for f in _TEXT]
+    long = rows.select("fold", F.col(Y).cast("double").alias("y"), F.explode(F.array(*pairs)).alias("p")).select("fold", "y", "p.*")
+    known = F.when(F.col("x").isNotNull(), F.col("y"))
+    numbers = long.where(F.col("feature_name").isin(_NUMERIC)).groupBy("fold", "feature_name").agg(
+        F.covar_pop("x", "y").alias("both"), (F.var_pop("x") * F.var_pop(known)).alias("spread")
+    )
+    # the target is 0 or 1, so its sum of squares is its sum
+    groups = long.where(F.col("v").isNotNull()).groupBy("fold", "feature_name", "v").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    mean = F.sum("s") * F.sum("s") / F.sum("n")
+    texts = groups.groupBy("fold", "feature_name").agg((F.sum(F.col("s") * F.col("s") / F.col("n")) - mean).alias("part"), (F.sum("s") - mean).alias("whole"))
+    importances = numbers.select(
+        "fold", "feature_name", F.when(F.col("spread") > 0, F.abs("both") / F.sqrt("spread")).otherwise(0.0).alias("importance")
+    ).unionByName(texts.select("fold", "feature_name", F.when(F.col("whole") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("part")) / F.col("whole"))).otherwise(0.0).alias("importance")))
+    return metrics.rounded(compare.importance_ranking(importances, set(STABLE), set(DRIFTING), len(ALL_FEATURES)))

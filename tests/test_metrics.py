@@ -234,3 +234,33 @@ def test_the_disjoint_test_part_has_both_classes(spark):
     rows = with_disjoint_split(supervised(spark, "/root/testdata/sf0.01"), DISJOINT).where("part = 'test'")
     counts = {r[TARGET]: r["count"] for r in rows.groupBy(TARGET).count().collect()}
     assert counts[0] > 20 and counts[1] > 5
+
+
+def test_all_features_are_ranked_by_correlation(spark, data):
+    import numpy as np
+
+    from panelwatch.operators.modelling import ALL_FEATURES
+    from panelwatch.plans import all_queries
+    from panelwatch.plans.inputs import TARGET, baseline_predictions
+
+    got = {r.feature_name: r for r in all_queries()["correlation_ranking"](spark, data).collect()}
+    assert set(got) == set(ALL_FEATURES)
+    rows = baseline_predictions(spark, data).select("fold", TARGET, "progress_current", "sector").collect()
+
+    def size(pairs):
+        x, y = (np.array(c, dtype=float) for c in zip(*pairs))
+        return abs(np.corrcoef(x, y)[0, 1]) if x.std() > 0 and y.std() > 0 else 0.0
+
+    numbers, texts = [], []
+    for fold in sorted({r.fold for r in rows}):
+        part = [r for r in rows if r.fold == fold]
+        numbers.append(size([(r.progress_current, r[TARGET]) for r in part if r.progress_current is not None]))
+        groups = {}
+        for r in part:
+            if r.sector is not None:
+                groups.setdefault(r.sector, []).append(r[TARGET])
+        means = [(np.mean(groups[r.sector]), r[TARGET]) for r in part if r.sector is not None]
+        texts.append(size(means) if len({round(m, 12) for m, _ in means}) > 1 else 0.0)
+    for name, values in (("progress_current", numbers), ("sector", texts)):
+        assert got[name].mean_importance == pytest.approx(np.mean(values), abs=2e-6)
+        assert got[name].sd_importance == pytest.approx(np.std(values), abs=2e-6)
