@@ -1,6 +1,7 @@
 """Substring dedup over sliding runs of sentences.
 
-A text is cut into sentences at line ends and after end marks, and inside a sentence after each word
+Each character of a script without spaces (Chinese, Japanese, Thai and so on) is a word of its own.
+A text is cut into sentences at line ends and after end marks, full-width ones too, and inside a sentence after each word
 whose hash is the smallest, ties included, of some ``NEAR`` words in a row; a word before an end mark
 counts as smaller than any other there. So every ``NEAR`` words in a row hold a cut, whatever the
 words are, and a run of equal words is cut after each. A cut depends on ``NEAR`` - 1 words to each
@@ -42,6 +43,16 @@ PIECE = 1 << 20
 
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?\n")] = True
+#: First code points of ranges in and out of scripts without spaces, in turn.
+_SPACELESS = np.array(
+    [
+        0x0E00, 0x1000, 0x1000, 0x10A0, 0x1780, 0x1800, 0x1950, 0x19E0, 0x1A20, 0x1AB0, 0x3005, 0x3008, 0x3041, 0x3130,
+        0x31A0, 0x31C0, 0x31F0, 0x3200, 0x3400, 0x4DC0, 0x4E00, 0xA4D0, 0xF900, 0xFB00, 0xFF66, 0xFFA0, 0x1B000, 0x1B300,
+        0x20000, 0x40000,
+    ]
+)
+#: Ideographic full stop, full-width . ! ? and the half-width full stop.
+_WIDE_ENDS = np.array([0x3002, 0xFF0E, 0xFF01, 0xFF1F, 0xFF61])
 _FACTORS = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
@@ -66,6 +77,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _wide(low: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, places and code points of the characters of three and of four bytes; none is cut off."""
+    found = []
+    for size, least, most in ((3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        at = np.flatnonzero((low >= least) & (low < most))
+        at = at[at + size <= len(low)]
+        points = low[at].astype(np.int64) & (0xFF >> (size + 1))
+        for i in range(1, size):
+            points = points << 6 | (low[at + i] & 0x3F)
+        found.append((size, at, points))
+    return found
+
+
 def _over(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     """The least or most of each n values in a row."""
     size = 1
@@ -80,11 +104,20 @@ def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the words, their hashes, and the number of the first word of each sentence."""
     low = LOWER[data]
     inside = np.concatenate([[False], IN_WORD[low], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    ending, split = _ENDS[low], np.zeros(len(low) + 1, dtype=bool)
+    if (low >= 0xE0).any():
+        for size, at, points in _wide(low):
+            alone = at[np.searchsorted(_SPACELESS, points, "right") % 2 == 1]
+            split[alone] = split[alone + size] = True
+            marks = at[np.isin(points, _WIDE_ENDS)]
+            ending[marks] = True
+            for i in range(size):
+                inside[marks + 1 + i] = False
+    starts = np.flatnonzero(inside[1:] & (split | ~inside[:-1]))
+    ends = np.flatnonzero(inside[:-1] & (split | ~inside[1:]))
     sums, undo = _sums(low.astype(np.uint64) + np.uint64(1), _FACTORS[0])
     words = _mixed((sums[ends] - sums[starts]) * undo[starts])
-    marks = np.concatenate([[0], np.cumsum(_ENDS[low])])
+    marks = np.concatenate([[0], np.cumsum(ending)])
     after = marks[starts[1:]] > marks[ends[:-1]]
     if len(words) >= NEAR:
         order = words.copy()

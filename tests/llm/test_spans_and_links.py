@@ -199,6 +199,32 @@ def test_spans_do_not_depend_on_pieces(monkeypatch):
         assert [x.tolist() for x in sentence_spans.spans(text)] == whole
 
 
+@pytest.mark.parametrize("first, last, marks", [(0x4E00, 0x9FA5, ""), (0x4E00, 0x9FA5, "。！？"), (0x3041, 0x30FA, "、"), (0x20000, 0x2A6D0, "")])
+def test_passages_without_spaces_are_found(spark, monkeypatch, first, last, marks):
+    rng = random.Random(first + len(marks))
+
+    def prose(n):
+        return "".join(chr(rng.randint(first, last)) + (rng.choice(marks) if marks and rng.random() < 0.1 else "") for _ in range(n))
+
+    passages = [prose(60) for _ in range(20)]
+    texts = [prose(rng.randint(0, 50)) + p + prose(rng.randint(0, 50)) for p in passages * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sentence_spans.deduplicated(docs).collect()}
+    for i in range(20):
+        assert got[i].kept == texts[i]
+        assert 12 <= len(texts[20 + i]) - len(got[20 + i].kept) and not set(got[20 + i].kept) - set(texts[20 + i])
+    long = "some words " + prose(2000) + " and other"
+    whole = [x.tolist() for x in sentence_spans.spans(long)]
+    for piece in (151, 998, 2000):
+        monkeypatch.setattr(sentence_spans, "PIECE", piece)
+        assert [x.tolist() for x in sentence_spans.spans(long)] == whole
+
+
+def test_full_width_marks_end_sentences():
+    words = sentence_spans._cut(np.frombuffer("一二。三四！五 six？seven 八".encode(), dtype=np.uint8))
+    assert len(words[1]) == 8 and words[2].tolist() == [0, 2, 4, 6]
+
+
 def test_sentences_of_odd_rows(spark):
     docs = odd_documents(spark)
     assert ids(sentence_spans.deduplicated(docs).collect()) == ALL_IDS
