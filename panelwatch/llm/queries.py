@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, link_trust, mixing, quality_classifier, quality_rules, sentence_spans, simhash, sqltext, suffix_dedup, toxicity
+from . import decontaminate, line_dedup, link_trust, mixing, quality_classifier, quality_rules, sentence_spans, simhash, sqltext, suffix_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -63,6 +63,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.scores(docs, labels)
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; the package is installed wherever tasks run."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(read_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -74,6 +86,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_token_counts": op12_token_counts,
 }
 ORACLES = {
     "op1_line_dedup": sqltext.LINE_DEDUP,
