@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, link_trust, mixing, quality_classifier, quality_rules, sentence_spans, simhash, sqltext, suffix_dedup, token_counts, toxicity
+from . import conversation_trie, cross_tokenizer, decontaminate, line_dedup, link_trust, mixing, quality_classifier, quality_rules, sentence_spans, simhash, sqltext, suffix_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -70,11 +70,22 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op11_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers, and how frequent the linked pairs are, of every document."""
+    docs = read_table(spark, folder, "documents")
+    return cross_tokenizer.digests(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.token_counts(read_table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations, with its subtree's sums."""
+    return conversation_trie.trie(read_table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -86,7 +97,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_token_counts": op12_token_counts,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLES = {
     "op1_line_dedup": sqltext.LINE_DEDUP,
