@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calibration, compare, drift, metrics, policy, slices
+from ..operators.digests import LEAF
 from ..operators.features import build_features
 from ..operators.modelling import ALL_FEATURES, DRIFTING, STABLE, conditional_review as review_conditional, split_features
 from ..operators.splits import with_disjoint_split
@@ -962,22 +963,24 @@ def run_comparison_summary(spark, folder):
     return metrics.rounded(compare.run_comparison_summary(compared, "fold", _RUN_METRICS))
 
 
-_LANES = " || '-' || ".join(
-    f"CAST(sum(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT)::HUGEINT) AS VARCHAR)" for i in range(4)
-)
+_LEAVES = f"""leaves AS (SELECT model, fold, leaf, sha256(string_agg(row_text, chr(10) ORDER BY at)) AS digest FROM (
+  SELECT model, fold, row_text, at, at // {LEAF} AS leaf FROM (
+    SELECT model, fold, row_text, row_number() OVER (PARTITION BY model, fold ORDER BY identity_key, prediction_month, row_text) - 1 AS at FROM (
+      SELECT *, identity_key || '|' || prediction_month || '|' || printf('%.12f', {P}) AS row_text FROM predictions))) GROUP BY 1, 2, 3)"""
 
 
 @query(
     "prediction_summary",
     with_(
-        f"""SELECT model, fold, count(*) AS prediction_length, min({P}) AS prediction_min, max({P}) AS prediction_max, round(avg({P}), 6) AS prediction_mean,
-          {_LANES} AS prediction_digest
-        FROM (SELECT *, sha256(identity_key || '|' || prediction_month || '|' || printf('%.12f', {P})) AS h FROM predictions) GROUP BY 1, 2""",
-        *PRED,
+        f"""SELECT * FROM (SELECT model, fold, count(*) AS prediction_length, min({P}) AS prediction_min, max({P}) AS prediction_max,
+          round(avg({P}), 6) AS prediction_mean FROM predictions GROUP BY 1, 2)
+        JOIN (SELECT model, fold, CASE WHEN count(*) = 1 THEN min(digest) ELSE sha256(string_agg(digest, chr(10) ORDER BY leaf)) END AS prediction_digest
+          FROM leaves GROUP BY 1, 2) USING (model, fold)""",
+        *PRED, _LEAVES,
     ),
 )
 def prediction_summary(spark, folder):
-    return compare.prediction_summary(predictions(spark, folder), P, ["model", "fold"])
+    return compare.prediction_summary(stored_predictions(spark, folder), P, ["model", "fold"])
 
 
 @query(

@@ -71,3 +71,19 @@ def discard(df: DataFrame) -> None:
         if file.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
             path = spark._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a folder in any store that Spark can reach."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def complete_folders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables below a folder whose writing was committed, in order."""
+    system, where = _file_system(spark, folder)
+    if not system.exists(where):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    children = [s.getPath() for s in system.listStatus(where) if s.isDirectory()]
+    return sorted(c.getName() for c in children if system.exists(path(c, "_SUCCESS")))

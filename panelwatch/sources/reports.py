@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.lexicon import REPORT_TYPES
 from ..functions.months import month_from_path
-from ..functions.text import parse_currency, parse_numeric, parse_paren_costs, strip, summed_hashes
+from ..functions.text import parse_currency, parse_numeric, parse_paren_costs, strip
+from ..operators.digests import ordered_digest
+from ..session import written
+from . import digest_source
+from .month_store import read_months, store_months
 
 QUOTED_OR_PLAIN_FIELD = r',("(?:[^"]|"")*"|[^,]*)'
 
@@ -160,10 +164,17 @@ def routing_counts(files: DataFrame) -> DataFrame:
     return routing(files).groupBy("routing").agg(F.count("*").alias("files"))
 
 
-def write_reports(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write each table as CSV, ordered by month."""
-    for name, table in tables.items():
-        table.repartitionByRange("report_month").sortWithinPartitions("report_month").write.mode("overwrite").csv(f"{folder}/{name}", header=True)
+def write_reports(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Bring the stored CSV tables up to a delivery, month by month; see ``store_months``.
+
+    Returns the change of each delivered month, by table.
+    """
+    return {name: store_months(table, f"{folder}/{name}", fmt="csv", header="true") for name, table in tables.items()}
+
+
+def read_reports(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The stored tables, typed like ``tables``."""
+    return {name: read_months(spark, f"{folder}/{name}", table.schema, "csv", header="true") for name, table in tables.items()}
 
 
 def split_periods(panel: DataFrame, layout: Column) -> tuple[DataFrame, DataFrame]:
@@ -173,14 +184,16 @@ def split_periods(panel: DataFrame, layout: Column) -> tuple[DataFrame, DataFram
     return tagged.where(~quarterly).drop("layout"), tagged.where(quarterly).drop("layout")
 
 
-def write_periods(panel: DataFrame, layout: Column, folder: str) -> None:
-    """Store monthly rows by month, and quarterly rows apart from them."""
+def write_periods(panel: DataFrame, layout: Column, folder: str) -> dict[str, DataFrame]:
+    """Bring stored monthly rows, and quarterly rows apart from them, up to a delivery.
+
+    A delivered month replaces itself in the part that it belongs to; see ``store_months``.
+    """
     monthly, quarterly = split_periods(panel, layout)
-    for name, rows in (("project_monthly", monthly), ("project_quarterly", quarterly)):
-        ordered = rows.repartitionByRange("report_month", "sl_no").sortWithinPartitions(
-            "report_month", "sl_no"
-        )
-        ordered.write.mode("overwrite").partitionBy("report_month").parquet(f"{folder}/{name}")
+    return {
+        name: store_months(rows, f"{folder}/{name}", ("sl_no",))
+        for name, rows in (("project_monthly", monthly), ("project_quarterly", quarterly))
+    }
 
 
 def fixed_precision(frame: DataFrame, digits: int = 6) -> DataFrame:
@@ -203,8 +216,16 @@ def write_report_text(lines: DataFrame, path: str) -> None:
     ).write.mode("overwrite").text(path)
 
 
-def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every matching file; each task hashes its own files."""
+def file_manifest(spark: SparkSession, folder: str, pattern: str = "*", **options) -> DataFrame:
+    """Name, size and SHA-256 of every matching file, of any size.
+
+    Tasks stream their own files in constant memory (``digest_source``). In a store that only
+    Spark itself can reach, whole files are read instead, of at most 2 GB each.
+    """
+    if digest_source.reachable(folder):
+        digest_source.register(spark)
+        files = spark.read.format(digest_source.NAME).options(pattern=pattern, **options).load(folder)
+        return files.select("file_name", "size_bytes", "sha256")
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -219,17 +240,16 @@ def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataF
 
 
 def manifest_summary(manifest: DataFrame, expected_files: int | None = None) -> DataFrame:
-    """File count, total bytes, a digest of all entries, and the count check.
-
-    The entries' hashes are summed, so nothing is gathered, however many files there are.
-    """
+    """File count, total bytes, a digest of the entries in order of name, and the count check."""
     entry = F.concat_ws(":", "file_name", F.col("size_bytes").cast("string"), "sha256")
     intact = F.lit(True) if expected_files is None else F.count("*") == expected_files
-    return manifest.agg(
-        F.count("*").alias("file_count"),
-        F.sum("size_bytes").alias("total_bytes"),
-        F.sha2(summed_hashes(F.sha2(entry, 256)), 256).alias("aggregate_sha256"),
-        intact.alias("intact"),
+    stored = written(manifest, "manifest")
+    counted = stored.agg(
+        F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_bytes"), intact.alias("intact"), F.lit(1).alias("k")
+    )
+    digest = ordered_digest(stored.withColumn("k", F.lit(1)), ["k"], [F.col("file_name")], entry)
+    return counted.join(digest, "k", "left").select(
+        "file_count", "total_bytes", F.col("digest").alias("aggregate_sha256"), "intact"
     )
 
 

@@ -125,6 +125,42 @@ def test_calibration_line_statuses_per_group(spark):
     }
 
 
+def test_calibration_lines_of_many_groups_need_no_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    n = 1500
+    rows = spark.range(n * 60).select(
+        F.concat(F.lit("P:"), F.col("id").cast("string")).alias("identity_key"),
+        F.when(F.col("id") % n != 0, F.col("id") % n).alias("g"),
+        ((F.xxhash64("id") % 97 + 97) % 97 / 100.0 + 0.015).alias("p"),
+    )
+    rows = rows.withColumn("y", (F.pmod(F.xxhash64("identity_key", F.lit(3)), F.lit(100)) / 100.0 < F.col("p") * 0.7 + 0.1).cast("int"))
+    pairs = {}
+    for r in rows.collect():
+        pairs.setdefault(r.g, []).append((r.y, r.p))
+
+    def refused(self):
+        raise AssertionError("groups were collected")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrame, "collect", refused)
+        fitted = calibration.calibration_intercept_slope(rows, "y", "p", ["g"])
+    found = {r.g: r for r in fitted.collect()}
+    assert len(found) == n and None in found
+    checked = 0
+    for g in [None, *range(1, n, 37)]:
+        if len({y for y, _ in pairs[g]}) == 2 and found[g].calibration_diagnostic_status == "DEFINED":
+            try:
+                a, b = newton(pairs[g])
+            except (OverflowError, ZeroDivisionError):
+                continue
+            if abs(a) < 20 and abs(b) < 20:
+                checked += 1
+                assert found[g].calibration_intercept == pytest.approx(a, abs=1e-5)
+                assert found[g].calibration_slope == pytest.approx(b, abs=1e-5)
+    assert checked > 30
+
+
 def test_threshold_choice_prefers_recall(spark):
     row = one(metrics.choose_threshold(scored(spark, [(1, 0.9), (1, 0.5), (0, 0.4), (0, 0.1)]), "y", "p", []))
     assert row.threshold == 0.45 and row.f1 == 1.0

@@ -1,8 +1,11 @@
 import hashlib
 
-from panelwatch.operators import profile
-from panelwatch.sources import reports
-from tests.conftest import column, one
+import pytest
+from pyspark.sql import functions as F
+
+from panelwatch.operators import digests, profile
+from panelwatch.sources import digest_source, month_store, reports
+from tests.conftest import DATA, column, one
 
 FILES = {
     "2026-04/Cost-Wise-Report.csv": '"Cost Wise Details"\n\n"","₹ 37,12,662","₹ 42,78,402","₹ 20,36,107"',
@@ -64,9 +67,117 @@ def test_manifest(spark, tmp_path):
     assert not one(reports.manifest_summary(manifest, 5)).intact
 
 
+def test_a_file_beyond_the_chunk_and_beyond_2_gb_is_streamed(spark, tmp_path):
+    import os
+
+    big = tmp_path / "big.bin"
+    with open(big, "wb") as file:  # sparse: holds no disk
+        file.truncate((1 << 31) + 4096)
+        file.seek(1 << 31)
+        file.write(b"end")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "small.bin").write_bytes(os.urandom(1000))
+    (tmp_path / "_hidden.bin").write_bytes(b"x")
+    state = hashlib.sha256()
+    with open(big, "rb") as file:
+        while data := file.read(1 << 24):
+            state.update(data)
+    expected = {"big.bin": (big.stat().st_size, state.hexdigest())}
+    small = (tmp_path / "sub" / "small.bin").read_bytes()
+    expected["small.bin"] = (1000, hashlib.sha256(small).hexdigest())
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        found = {r.file_name: (r.size_bytes, r.sha256) for r in reports.file_manifest(spark, root, "*.bin").collect()}
+        assert found == expected
+    chunked = reports.file_manifest(spark, str(tmp_path / "sub"), "*.bin", chunk="7", taskBytes="1").collect()
+    assert chunked[0].sha256 == expected["small.bin"][1]
+
+
+def test_files_are_packed_by_size_and_other_stores_fall_back(spark, tmp_path):
+    files = [("a", 5), ("b", 100), ("c", 5), ("d", 60), ("e", 0)]
+    parts = digest_source.packed(files, 65)
+    assert sorted(x for p in parts for x in p) == ["a", "b", "c", "d", "e"] and parts[0] == ("b",)
+    assert all(len(p) == 1 or sum(dict(files)[x] for x in p) <= 65 for p in parts)
+    assert not digest_source.reachable("viewfs://store/in") and digest_source.reachable("file:/tmp")
+    (tmp_path / "none").mkdir()
+    assert reports.file_manifest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_delivered_month_replaces_itself_and_nothing_else(spark, tmp_path):
+    store = str(tmp_path / "store")
+    schema = "report_month string, key string, x double"
+
+    def delivery(*rows):
+        return spark.createDataFrame(list(rows), schema)
+
+    def changes(frame):
+        return {r.report_month: r.change for r in month_store.store_months(frame, store, ("key",)).collect()}
+
+    def stored():
+        return sorted(tuple(r) for r in month_store.read_months(spark, store, delivery().schema).collect())
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+
+    first = [("2026-01", "a", 1.0), ("2026-01", "b", None), ("2026-03", "a", 2.0)]
+    assert changes(delivery(*first)) == {"2026-01": "NEW", "2026-03": "NEW"} and stored() == sorted(first)
+    before = files()
+    assert changes(delivery(*first[::-1]).repartition(3)) == {"2026-01": "UNCHANGED", "2026-03": "UNCHANGED"}
+    assert files() == before
+    again = [("2026-03", "a", 2.5), ("2026-03", "c", 9.0)]
+    assert changes(delivery(*again)) == {"2026-03": "REPLACED"}
+    assert stored() == sorted(first[:2] + again)
+    assert {p: t for p, t in files().items() if "2026-01" in str(p)} == {p: t for p, t in before.items() if "2026-01" in str(p)}
+    late = [("2026-02", "a", 7.0)]
+    assert changes(delivery(*late, *again)) == {"2026-02": "NEW", "2026-03": "UNCHANGED"}
+    assert stored() == sorted(first[:2] + again + late)
+    kept = {r.report_month: r.rows for r in month_store.manifest(spark, store).collect()}
+    assert kept == {"2026-01": 2, "2026-02": 1, "2026-03": 2}
+    with pytest.raises(Exception, match="without a month"):
+        changes(delivery((None, "a", 1.0)))
+
+
+def test_reports_delivered_month_by_month_are_stored_like_all_at_once(spark, tmp_path):
+    from panelwatch.sources.panel import supplier_month
+
+    panel = supplier_month(spark, DATA).where("report_month LIKE '2021-1%'")
+    files = reports.report_files_from_panel(panel)
+    whole = reports.process_reports(files)
+    reports.write_reports(whole, str(tmp_path / "once"))
+    for month in ("2021-12", "2021-10", "2021-11"):
+        part = reports.process_reports(files.where(F.col("path").contains(month) | (F.col("path").contains("undated") & (month == "2021-12"))))
+        reports.write_reports(part, str(tmp_path / "bit"))
+    once, bit = (reports.read_reports(spark, str(tmp_path / f), whole) for f in ("once", "bit"))
+    for name in whole:
+        rows = [sorted(map(str, t[name].collect())) for t in (whole, once, bit)]
+        assert rows[0] == rows[1] == rows[2]
+    assert whole["state_monthly"].count() > 10
+
+
+def test_ordered_digest_is_that_of_a_plain_loop(spark):
+    rows = [("g" if i % 3 else None, i * 7 % 1000, f"row {i}") for i in range(700)]
+    frame = spark.createDataFrame(rows, "g string, at int, body string")
+    for leaf in (2, 10, 1024):
+        expected = {
+            g: digests.plain_digest([b for _, b in sorted((at, b) for x, at, b in rows if x == g)], leaf) for g in ("g", None)
+        }
+        for parts in (1, 7):
+            found = digests.ordered_digest(frame.repartition(parts), ["g"], [F.col("at")], F.col("body"), leaf)
+            assert {r.g: r.digest for r in found.collect()} == expected
+    # two rows that change places change the digest
+    swapped = frame.withColumn("at", F.when(F.col("at") == 7, 14).when(F.col("at") == 14, 7).otherwise(F.col("at")))
+    found = digests.ordered_digest(swapped, ["g"], [F.col("at")], F.col("body"))
+    assert {r.g: r.digest for r in found.collect()}["g"] != expected["g"]
+    assert digests.ordered_digest(frame.limit(0), ["g"], [F.col("at")], F.col("body")).count() == 0
+
+
+def test_positions_count_through_partitions(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v")).repartition(9)
+    found = digests.positions(rows, ["g"], [F.col("v")]).collect()
+    assert all(r.position == r.v // 2 for r in found) and len(found) == 5000
+
+
 def test_fixed_precision_and_period_sinks(spark, tmp_path):
     from panelwatch.operators.identity import report_layout
-    from pyspark.sql import functions as F
 
     frame = spark.createDataFrame([("2025-04", 1, "QPISR_a", 0.1234567), ("2025-07", 2, "b", None)],
                                   "report_month string, sl_no int, source_file string, x double")
