@@ -3,12 +3,15 @@
 Every url is judged by the longest rule that fits its host (or a domain above it) and its path.
 Hosts without a rule's word on a page get theirs from the host graph: trust is a personalised
 PageRank from the pages that rules allow, distrust one over the reversed links from the pages
-that rules block, so a host that links to blocked hosts is distrusted. Both are in pages: the rank times the pages of all its
-seeds. A host is allowed unless its distrust is above ``RATIO`` times its trust.
+that rules block, so a host that links to blocked hosts is distrusted. Both are in pages and not
+scaled by a total: a host without links has exactly its own pages, whatever other hosts there
+are. A host is blocked if its distrust is above ``RATIO`` times its trust by more than ``SLACK``.
 
 The host graph has one row per pair of hosts with the number of links, so a host with a third of
-all pages is one node; ranks are summed by destination before they are shuffled. Steps are written
-to the shared folder; the loop ends when no rank moves more than ``TOLERANCE`` in total.
+all pages is one node; ranks are summed by destination before they are shuffled. What goes along
+a link is rounded to twelve decimals and summed exactly, so ranks do not depend on the order or
+the partitioning of rows. Steps are written to the shared folder; the loop ends when all ranks
+together move by ``TOLERANCE`` at most, and what is then missing is less than ``SLACK``.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and
 is allowed, since nothing speaks against it. Null html has no links. Links of a host to itself
@@ -32,8 +35,12 @@ RULES = (
     ("block", "com/de/"),
 )
 DAMPING = 0.85
-TOLERANCE = 1e-6
 RATIO = 2.0
+#: In pages. Steps shrink by DAMPING, so the rest of the series is below TOLERANCE * 0.85 / 0.15.
+TOLERANCE = 1e-5
+SLACK = 1e-3
+#: Exact sums; up to 10^16 pages.
+EXACT = "decimal(28,12)"
 
 
 def host_of(url: Column) -> Column:
@@ -84,46 +91,45 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def personalised_rank(
     links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """(host, rank): PageRank that restarts at the seeds (host, weight), in proportion to weight.
+    """(host, rank): personalised PageRank from the seeds (host, weight), in units of their weight.
 
-    Ranks add up to the weight of all seeds. ``links`` has (src, dst, links). What a host without links holds goes back to the seeds. The
-    steps contract by ``damping``, so the loop ends by itself.
+    The rank of a host is its own weight and ``damping`` times what the hosts that link to it
+    send, each in proportion to its ``links`` (src, dst, links); a host without links sends
+    nothing. That is PageRank with restart, divided by the share of restarts, and it is linear:
+    the ranks of a part of the graph do not depend on any other part. The steps shrink by
+    ``damping``, so the loop ends by itself.
     """
-    total = seeds.agg(F.sum("weight")).first()[0]
-    if not total:
-        return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
-    start = written(
-        seeds.groupBy("host").agg((F.sum("weight") / F.lit(float(total))).alias("start")), "rank-seeds"
-    )
+    start = written(seeds.groupBy("host").agg(F.sum("weight").cast(EXACT).alias("start")), "rank-seeds")
     out = links.groupBy("src").agg(F.sum("links").alias("out"))
     shares = written(
-        links.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")), "link-shares"
+        links.join(out, "src").select("src", "dst", (F.col("links") / F.col("out") * F.lit(damping)).alias("share")),
+        "link-shares",
     )
     ranks = written(start.select("host", F.col("start").alias("rank")), "ranks")
     while True:
         sent = (
             ranks.join(shares, F.col("host") == F.col("src"))
-            .groupBy(F.col("dst").alias("host"))
-            .agg((F.sum(F.col("rank") * F.col("share")) * F.lit(damping)).alias("got"))
+            .select(F.col("dst").alias("host"), (F.col("rank").cast("double") * F.col("share")).cast(EXACT).alias("sent"))
+            .groupBy("host")
+            .agg(F.sum("sent").cast(EXACT).alias("got"))
         )
-        sent = written(sent, "rank-sent")
-        back = 1.0 - (sent.agg(F.sum("got")).first()[0] or 0.0)
+        none = F.lit(0).cast(EXACT)
         step = written(
-            start.join(sent, "host", "full").select(
-                "host",
-                (F.coalesce("got", F.lit(0.0)) + F.coalesce("start", F.lit(0.0)) * F.lit(back)).alias("rank"),
+            start.join(sent, "host", "full")
+            .join(ranks.select("host", F.col("rank").alias("was")), "host", "full")
+            .select(
+                "host", (F.coalesce("got", none) + F.coalesce("start", none)).cast(EXACT).alias("rank"),
+                F.coalesce("was", none).alias("was"),
             ),
             "ranks",
         )
-        was = ranks.select("host", F.col("rank").alias("was"))
-        moved = step.join(was, "host", "full").agg(
-            F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))
-        ).first()[0]
+        moved = step.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
         discard(ranks)
-        discard(sent)
         ranks = step
-        if (moved or 0.0) <= tolerance:
-            return ranks.select("host", (F.col("rank") * F.lit(float(total))).alias("rank"))
+        if (moved or 0) <= tolerance:
+            discard(start)
+            discard(shares)
+            return ranks.select("host", "rank")
 
 
 def host_scores(
@@ -143,9 +149,10 @@ def host_scores(
     trust = personalised_rank(links, seeds.where("verdict = 'allow'"))
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     distrust = personalised_rank(back, seeds.where("verdict = 'block'"))
+    none = F.lit(0).cast(EXACT)
     return trust.withColumnRenamed("rank", "trust").join(
         distrust.withColumnRenamed("rank", "distrust"), "host", "full"
-    ).select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    ).select("host", F.coalesce("trust", none).alias("trust"), F.coalesce("distrust", none).alias("distrust"))
 
 
 def judged(
@@ -157,9 +164,9 @@ def judged(
     rows = pages.select(
         F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("path")
     ).withColumn("_r", ruled(F.col("_host"), F.col("path"), rules))
-    by_links = F.when(
-        F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)) * F.lit(ratio), F.lit("block")
-    ).otherwise(F.lit("allow"))
+    none = F.lit(0).cast(EXACT)
+    excess = F.coalesce("distrust", none).cast("double") - F.coalesce("trust", none).cast("double") * F.lit(ratio)
+    by_links = F.when(excess > SLACK, F.lit("block")).otherwise(F.lit("allow"))
     return rows.join(scores, F.col("_host") == F.col("host"), "left").select(
         F.col("_id").alias(id_col), F.col("_host").alias("host"), "path",
         F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", by_links).alias("verdict"),
