@@ -244,7 +244,13 @@ def _refined(spans: DataFrame) -> DataFrame:
         nodes = written(hashed, "nodes")
         key = ["a", "b", "c1", "c2"]
         # Equal whole contexts are one class; one that leaves its document is a class of its own.
-        classes = nodes.where(F.col("w1").isNotNull()).groupBy(*key, "w1", "w2").agg(F.sum("docs").alias("n"))
+        # Classes are written before they are joined back, so that the join may split a frequent one.
+        classes = written(
+            nodes.where(F.col("w1").isNotNull())
+            .groupBy(*key, "w1", "w2")
+            .agg(F.sum("docs").alias("n"), F.min(F.struct("t1", "t2")).alias("t")),
+            "classes",
+        )
         alone = nodes.where(F.col("w1").isNull()).select(*key, F.col("docs").alias("n"), "docs")
         summary = written(
             classes.select(*key, "n", F.col("n").alias("docs"))
@@ -263,23 +269,18 @@ def _refined(spans: DataFrame) -> DataFrame:
         repeated = written(repeated, "repeated")
         done = repeated if done is None else done.unionByName(repeated)
         # One member of each class goes on, and every range that leaves its document.
-        open_nodes = nodes.join(summary, key)
-        first = (
-            open_nodes.where(F.col("w1").isNotNull())
-            .groupBy(*key, "w1", "w2")
-            .agg(F.min(F.struct("t1", "t2")).alias("t"), F.sum("docs").alias("docs"))
-            .select("t.*", "a", "b", "docs")
-        )
-        rest = open_nodes.where(F.col("w1").isNull()).select("t1", "t2", "a", "b", "docs")
+        first = classes.join(summary, key).select("t.*", "a", "b", F.col("n").alias("docs"))
+        rest = nodes.where(F.col("w1").isNull()).join(summary, key).select("t1", "t2", "a", "b", "docs")
         state_next = (
             first.unionByName(rest)
             .groupBy("t1", "t2")
             .agg(F.collect_list(F.struct("a", "b", "docs")).alias("ranges"))
         )
         following = written(state_next, "ranges")
-        discard(state)
-        discard(nodes)
+        for table in (state, nodes, classes, summary):
+            discard(table)
         state, width = following, part
+    discard(state)
     return done
 
 
@@ -298,6 +299,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     met = written(anchors.join(shared, "gram"), "shared-anchors")
     discard(anchors)
+    discard(shared)
     spans = written(
         met.groupBy("t1", "t2").agg(
             F.count("*").alias("docs"), F.min("gram").alias("gram"), F.min(F.struct("doc", "row_key", "place")).alias("at")
@@ -333,19 +335,25 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ).dropDuplicates(["t1", "t2"]),
         "open-spans",
     )
+    refined = _refined(open_spans)
     partly = (
-        _refined(open_spans)
+        refined
         .join(spans.select("t1", "t2", "at"), ["t1", "t2"])
         .select(
             "at.doc", "at.row_key", (F.col("at.place") - F.col("b")).alias("start"), (F.col("at.place") - F.col("a")).alias("end")
         )
     )
-    return (
+    found = written(
         everywhere.unionByName(partly)
         .groupBy("doc", "row_key")
         .agg(F.collect_set(F.struct("start", "end")).alias("r"))
-        .select("doc", "row_key", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
+        .select("doc", "row_key", F.col("r.start").alias("starts"), F.col("r.end").alias("ends")),
+        "repeated-windows",
     )
+    # The ranges are all that is still read.
+    for table in (met, spans, mixed, open_spans, refined):
+        discard(table)
+    return found
 
 
 def _with_windows(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
