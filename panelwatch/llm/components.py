@@ -2,7 +2,9 @@
 
 Each round replaces links by links to the smallest neighbour, first from the larger and then
 from the smaller side. Only a minimum per node is aggregated and joined back, so no node's
-neighbours are gathered, however many it has. Rounds are written to the shared folder, and
+neighbours are gathered, however many it has. The minima are written before they are joined:
+aggregated in the join's own stage, all links of a node would have to be one task, and a node
+may hold a third of all links; read from a table, the join can be split where a node is large. Rounds are written to the shared folder, and
 the tables of earlier rounds are removed once the next one is there.
 """
 
@@ -13,23 +15,32 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import discard, written
 
 
-def _with_smallest(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with ``m``, the smallest of u and all v of the same u."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(smallest.select("u", F.least("u", "m").alias("m")), "u")
+def _smallest(edges: DataFrame) -> DataFrame:
+    """(u, m) with ``m``, the smallest of u and all v of the same u, written."""
+    return written(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "smallest")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _large_star(edges: DataFrame, smallest: DataFrame) -> DataFrame:
+    """Links from the larger neighbours of a node to the smallest; ``edges`` has both directions."""
+    return edges.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, smallest: DataFrame) -> DataFrame:
     """Edges point from the larger node u to the smaller v."""
-    found = _with_smallest(edges)
-    moved = found.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    kept = found.select("u", F.col("m").alias("v"))
-    return moved.unionByName(kept).distinct()
+    moved = edges.join(smallest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _round(state: DataFrame) -> DataFrame:
+    both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = _smallest(both)
+    large = written(_large_star(both, least), "links")
+    discard(least)
+    least = _smallest(large)
+    step = written(_small_star(large, least), "links")
+    discard(least)
+    discard(large)
+    return step
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -49,7 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = written(links, "links")
     before = _fingerprint(state)
     while True:
-        step = written(_small_star(_large_star(state)), "links")
+        step = _round(state)
         after = _fingerprint(step)
         discard(state)
         state = step
