@@ -106,4 +106,5 @@ ORACLES = {
     "op3_quality_rules": sqltext.QUALITY_RULES,
     "op6_decontaminate": sqltext.DECONTAMINATE,
     "op8_suffix_dedup": sqltext.SUFFIX_DEDUP,
+    "op13_conversation_trie": sqltext.CONVERSATION_TRIE,
 }

@@ -124,3 +124,34 @@ SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
   CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+CONVERSATION_TRIE = """WITH own AS (
+  SELECT conv_id AS c, list({'d': sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')),
+      'n': strlen(coalesce(text, ''))}
+    ORDER BY turn NULLS FIRST, sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+asked AS (
+  SELECT c, t, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295::BIGINT) % 9 AS h
+  FROM own),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.t, [])[1:a.h], a.t[a.h + 1:]) AS t FROM asked a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+members AS (
+  SELECT c, d, len(t) AS size, array_to_string(list_transform(t[1:d], lambda x: x.d), ',') AS key,
+    CASE WHEN d > 0 THEN array_to_string(list_transform(t[1:d - 1], lambda x: x.d), ',') END AS parent,
+    CASE WHEN d > 0 THEN t[d].n ELSE 0 END AS bytes
+  FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT key, d, min(c) AS conv, min(parent) AS parent, count(*) AS n, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE size = d), '')) AS ends
+  FROM members GROUP BY key, d),
+counted AS (
+  SELECT nodes.*, coalesce(k.n_children, 0) AS n_children
+  FROM nodes LEFT JOIN (SELECT parent AS key, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2) k USING (key, d)),
+sums AS (
+  SELECT a.key, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n - 1) * b.bytes) AS saved
+  FROM counted a JOIN counted b ON b.d >= a.d AND (a.d = 0 OR starts_with(b.key || ',', a.key || ',')) GROUP BY 1, 2)
+SELECT a.conv AS conv_id, CAST(a.d AS BIGINT) AS depth, p.conv AS parent_conv_id, a.n AS n_convs, a.n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM counted a JOIN sums USING (key, d) LEFT JOIN nodes p ON p.key = a.parent AND p.d = a.d - 1"""

@@ -253,6 +253,7 @@ def test_rules_of_urls(spark):
 
 
 def brute_rank(edges, seeds, damping=0.85):
+    """The linear system of the ranks, solved at once."""
     hosts = sorted({h for e in edges for h in e[:2]} | set(seeds))
     at = {h: i for i, h in enumerate(hosts)}
     move = np.zeros((len(hosts), len(hosts)))
@@ -261,13 +262,7 @@ def brute_rank(edges, seeds, damping=0.85):
     out = move.sum(axis=0)
     move[:, out > 0] /= out[out > 0]
     start = np.array([seeds.get(h, 0.0) for h in hosts])
-    total = start.sum()
-    start /= total
-    rank = start.copy()
-    for _ in range(400):
-        got = damping * move @ rank
-        rank = got + start * (1 - got.sum())
-    return dict(zip(hosts, rank * total))
+    return dict(zip(hosts, np.linalg.solve(np.eye(len(hosts)) - damping * move, start)))
 
 
 def test_ranks_against_power_iteration(spark):
@@ -280,7 +275,7 @@ def test_ranks_against_power_iteration(spark):
         spark.createDataFrame(list(seeds.items()), "host string, weight double"),
     )
     want = brute_rank(edges, seeds)
-    found = {r.host: r["rank"] for r in got.collect()}
+    found = {r.host: float(r["rank"]) for r in got.collect()}
     for host, value in want.items():
         assert found.get(host, 0.0) == pytest.approx(value, abs=1e-4)
 
@@ -299,6 +294,71 @@ def test_trust_goes_along_links_and_distrust_against_them(spark):
     assert got == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "allow"}
 
 
+def test_a_tie_is_allowed_whatever_other_hosts_there_are(spark):
+    for others in (180, 181, 182):
+        rows = [(k, f"http://a.com/{'fr' if k < 3 else 'de'}/{k}", None) for k in range(9)] + [(9, "http://a.com/x", None)]
+        rows += [(100 + k, f"http://other.com/de/{k}", None) for k in range(others)]
+        got = {r.page_id: r.verdict for r in link_trust.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got[9] == "allow"
+        rows.append((10, "http://a.com/de/more", None))
+        got = {r.page_id: r.verdict for r in link_trust.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got[9] == "block"
+
+
+def linked_pages(seed, n=120):
+    """Links lead to later hosts only, so that the ranks settle after a few steps."""
+    rng = random.Random(seed)
+    hosts = [f"h{i}.com" for i in range(14)] + ["g.org", "k.net", "m.net"]
+    pages = []
+    for k in range(n):
+        host = rng.choice(hosts)
+        path = rng.choices(["/fr/x", "/de/y", "/plain", "/fr", ""], [1, 8, 6, 1, 2])[0]
+        later = [h for h in hosts[hosts.index(host) + 1 :] if hosts.index(h) // 4 == hosts.index(host) // 4 + 1]
+        links = "".join(f'<a href="http://{rng.choice(later)}/p">l</a>' for _ in range(rng.randrange(3)) if later)
+        pages.append((k, f"http://{host}{path}", links))
+    return pages
+
+
+def brute_judged(pages):
+    """Every rule, link and rank by a plain loop."""
+    found, seeds, links = [], {"allow": {}, "block": {}}, {}
+    for k, url, html in pages:
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest)[0].lower()
+        path = re.match("[^?#]*", rest[len(host):]).group()
+        best = None
+        for verdict, rule in link_trust.RULES:
+            domain, _, tail = rule.partition("/")
+            if (host == domain or host.endswith("." + domain)) and path.startswith("/" + tail) and (best is None or len(rule) > len(best[1])):
+                best = (verdict, rule)
+        found.append((k, host, path, best))
+        if best:
+            seeds[best[0]][host] = seeds[best[0]].get(host, 0) + 1
+        for target in re.findall('href="http://([^/"]+)', html):
+            if target != host:
+                links[host, target] = links.get((host, target), 0) + 1
+    trust = brute_rank([(a, b, n) for (a, b), n in links.items()], seeds["allow"])
+    distrust = brute_rank([(b, a, n) for (a, b), n in links.items()], seeds["block"])
+    return [
+        (k, host, path, best and best[1], best[0] if best else "block" if distrust.get(host, 0) - 2 * trust.get(host, 0) > 1e-3 else "allow")
+        for k, host, path, best in found
+    ]
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_whole_judgement_against_brute_force_under_any_partitioning(spark, seed):
+    pages = linked_pages(seed)
+    want = brute_judged(pages)
+    assert {"allow", "block"} <= {w[4] for w in want if w[3] is None}
+    scores = []
+    for parts in (1, 6):
+        frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)
+        got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in link_trust.judged(frame).collect())
+        assert got == want
+        scores.append(sorted(link_trust.host_scores(frame).collect()))
+    assert scores[0] == scores[1] and scores[0]
+
+
 def test_links_of_odd_rows(spark):
     docs = odd_documents(spark).withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "url").drop("html")
     docs = docs.withColumn("html", docs["url"])
