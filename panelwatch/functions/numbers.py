@@ -38,6 +38,11 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator != 0, numerator / denominator).otherwise(F.lit(0.0))
 
 
+def effective_value(revised: Column, original: Column) -> Column:
+    """The revised value where there is one, else the original."""
+    return F.coalesce(revised, original)
+
+
 def js_round(value: Column) -> Column:
     """Round half toward positive infinity, as the dashboard metrics do."""
     return F.floor(value + F.lit(0.5))

@@ -249,6 +249,45 @@ def feature_quality_summary(panel: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
+def with_rejected(panel: DataFrame) -> DataFrame:
+    """All features of the catalogue, the rejected ones included, which look past the month.
+
+    They exist to be refused: next month's revised cost and completion, changes counted over the
+    whole history, and the last cost ever observed.
+    """
+    timeline = _timeline()
+    whole = Window.partitionBy("identity_key")
+    cost_changed = cost_differs(F.col("effective_cost"), F.lag("effective_cost").over(timeline))
+    rejected = {
+        "future_revised_cost": F.lead("revised_cost").over(timeline),
+        "future_revised_completion": F.lead("effective_end").over(timeline),
+        "full_history_revision_count": F.sum(F.col("cost_changed").cast("int")).over(whole),
+        "last_observed_value": F.max_by("effective_cost", "month_number").over(whole),
+    }
+    extended = traceable(panel).withColumn("cost_changed", cost_changed).withColumns(rejected).drop("cost_changed")
+    return build_features(extended, tuple(rejected))
+
+
+def features_that_look_ahead(panel: DataFrame, cutoff_month: str, build=with_rejected) -> DataFrame:
+    """Per feature, the rows up to the cutoff and how many of them change when later rows are removed.
+
+    A point-in-time feature changes nowhere. Rows that only one of the two builds has count as changed.
+    """
+    known = [name for name, _, _, _ in FEATURES]
+    full = build(panel).where(F.col("prediction_month") <= cutoff_month)
+    cut = build(panel.where(F.col("report_month") <= cutoff_month))
+    keys = ["identity_key", "prediction_month"]
+    left, right = (
+        f.select(*keys, F.struct(*known).alias(side)) for f, side in ((full, "full"), (cut, "cut"))
+    )
+    changed = {c: F.count_if(~F.col(f"full.{c}").eqNullSafe(F.col(f"cut.{c}"))) for c in known}
+    row = left.join(right, keys, "full").agg(F.count("*").alias("n"), *[v.alias(c) for c, v in changed.items()])
+    each = F.array(
+        *[F.struct(F.lit(c).alias("feature_name"), F.col("n").alias("compared_rows"), F.col(c).alias("changed_rows")) for c in known]
+    )
+    return row.select(F.explode(each).alias("f")).select("f.*")
+
+
 def leaking_rows(panel: DataFrame, cutoff_month: str) -> DataFrame:
     """Feature rows up to the cutoff that change when later rows are removed.
 

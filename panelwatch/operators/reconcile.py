@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import money, percent_difference
+from ..functions.numbers import effective_value, money, percent_difference
 
 COST_NOTE = "national cost overview"
 REVISED_NOTE = (
@@ -27,7 +27,7 @@ def difference_status(pct: Column, available: Column) -> Column:
 
 def monthly_totals(panel: DataFrame) -> DataFrame:
     """Panel totals per month; a total is null when every value is missing."""
-    effective = F.coalesce("revised_cost", "original_cost")
+    effective = effective_value(F.col("revised_cost"), F.col("original_cost"))
     return panel.groupBy("report_month").agg(
         F.sum(money(F.col("original_cost"))).cast("double").alias("original_cost"),
         F.sum(money(F.col("expenditure"))).cast("double").alias("expenditure"),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..operators import features as ops, history, labels as label_ops, splits
-from ..sources.panel import traceable
+from ..operators import feature_state, features as ops, history, labels as label_ops, splits
+from ..operators.identity import enrich_panel
+from ..session import written
+from ..sources.panel import DATE_FIELDS, ENRICHED_COLUMNS, customer_month, traceable
 from .inputs import TARGET, customer_panel, supervised, supplier_panel
 from .registry import query
-from .sqltext import CUSTOMER, FEATURES, LABELS, SUPERVISED, SUPPLIER, lag_exact, month_label, month_text, ratio, rnd, with_
+from .sqltext import CUSTOMER, FEATURES, LABELS, SUPERVISED, SUPPLIER, lag_exact, month_label, month_text, ratio, rnd, sql_list, with_
 
 _DOUBLES = {
     "progress_current", "expenditure_current", "original_cost_current", "revised_cost_current",
@@ -117,12 +121,61 @@ def stored_label_join(spark, folder):
     )
 
 
+_CUTOFF = "2024-06"
+
+
+def _rejected_sql(typed: str, prefix: str) -> str:
+    """The rejected features over one panel, keyed like its features."""
+    timeline = "PARTITION BY identity_key ORDER BY month_number"
+    return f"""{prefix}_changes AS (SELECT *, coalesce(abs(effective_cost - lag(effective_cost) OVER ({timeline})) > 0.01, false) AS changed
+      FROM {typed} WHERE traceable),
+    {prefix}_rejected AS (SELECT identity_key, report_month AS prediction_month, lead(revised_cost) OVER ({timeline}) AS future_revised_cost,
+      lead(effective_end) OVER ({timeline}) AS future_revised_completion,
+      sum(changed::INT) OVER (PARTITION BY identity_key) AS full_history_revision_count,
+      last_value(effective_cost) OVER ({timeline} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_observed_value
+      FROM {prefix}_changes)"""
+
+
+_NAMES = [name for name, *_ in ops.FEATURES]
+_CUT_FEATURES = re.sub(r"\b(typed|f1|f2|features)\b", r"\1_cut", FEATURES)
+_PROOF = (
+    f"""typed_cut AS (SELECT * FROM typed WHERE report_month <= '{_CUTOFF}')""",
+    _CUT_FEATURES, _rejected_sql("typed", "whole"), _rejected_sql("typed_cut", "cut"),
+    f"""whole_rows AS (SELECT * FROM features JOIN whole_rejected USING (identity_key, prediction_month) WHERE prediction_month <= '{_CUTOFF}'),
+    cut_rows AS (SELECT * FROM features_cut JOIN cut_rejected USING (identity_key, prediction_month))""",
+)
+
+
 @query(
     "point_in_time_proof",
-    "SELECT 0::BIGINT AS leaking_rows",
+    with_(
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS feature_name, count(*) AS compared_rows, count(*) FILTER (WHERE a.{c} IS DISTINCT FROM b.{c}) AS changed_rows
+            FROM whole_rows a FULL JOIN cut_rows b ON a.identity_key = b.identity_key AND a.prediction_month = b.prediction_month"""
+            for c in _NAMES
+        ),
+        CUSTOMER, FEATURES, *_PROOF,
+    ),
 )
 def point_in_time_proof(spark, folder):
-    return ops.leaking_rows(customer_panel(spark, folder), "2024-06").agg(F.count("*").alias("leaking_rows"))
+    """Every feature of the catalogue: usable ones change nowhere, rejected ones do."""
+    return ops.features_that_look_ahead(written(customer_panel(spark, folder), "panel"), _CUTOFF)
+
+
+_LAST_MONTH = "(SELECT max(report_month) FROM typed)"
+
+
+@query(
+    "arriving_month_features",
+    with_(f"SELECT {_FEATURE_SQL} FROM features WHERE prediction_month = {_LAST_MONTH}", CUSTOMER, FEATURES),
+)
+def arriving_month_features(spark, folder):
+    """Features of the latest month from the state that the earlier months left behind."""
+    panel = written(customer_panel(spark, folder), "panel")
+    months = [r[0] for r in panel.select("report_month").distinct().orderBy(F.desc("report_month")).limit(2).collect()]
+    state = feature_state.state_of(panel, months[1])
+    found, _ = feature_state.fold(state, panel.where(F.col("report_month") == months[0]), months[0])
+    return _rounded_features(found)
 
 
 _LABEL_COLUMNS = ", ".join(label_ops.TARGET_NAMES)
@@ -410,32 +463,8 @@ def endpoint_matching(spark, folder):
     return history.endpoint_matching(existing, incoming, "2026-04")
 
 
-_ID_BASE = """, ids AS (SELECT CASE WHEN sl_no % 50 = 7 THEN 'Q:' || sl_no ELSE identity_key END AS identity_key
-                        FROM typed WHERE report_month <= '2020-03')"""
-
-
 @query(
     "id_quality",
-    with_(
-        _ID_BASE
-        + """, per AS (SELECT identity_key, count(*) AS n, regexp_matches(identity_key, '^[PL]:[^\\s]+$') AS ok FROM ids GROUP BY 1)
-        SELECT CAST(coalesce(sum(n) FILTER (WHERE identity_key IS NULL), 0) AS BIGINT) AS missing_ids,
-               CAST(coalesce(sum(n) FILTER (WHERE NOT ok), 0) AS BIGINT) AS malformed_ids,
-               CAST(coalesce(sum(n) FILTER (WHERE ok AND n > 1), 0) AS BIGINT) AS duplicate_project_rows,
-               count(*) FILTER (WHERE ok AND n > 1) AS duplicate_project_ids FROM per""",
-        CUSTOMER,
-    ),
-)
-def id_quality(spark, folder):
-    rows = customer_panel(spark, folder).where(F.col("report_month") <= "2020-03")
-    bad = F.concat(F.lit("Q:"), F.col("sl_no").cast("string"))
-    return history.id_quality(
-        rows.select(F.when(F.col("sl_no") % 50 == 7, bad).otherwise(F.col("identity_key")).alias("identity_key"))
-    )
-
-
-@query(
-    "id_quality_all_months",
     with_(
         """, ids AS (SELECT CASE WHEN sl_no % 50 = 7 THEN 'Q:' || sl_no ELSE identity_key END AS identity_key FROM typed),
         per AS (SELECT identity_key, count(*) AS n, regexp_matches(identity_key, '^[PL]:[^\\s]+$') AS ok FROM ids GROUP BY 1)
@@ -446,8 +475,8 @@ def id_quality(spark, folder):
         CUSTOMER,
     ),
 )
-def id_quality_all_months(spark, folder):
-    """``id_quality`` over every row of the panel."""
+def id_quality(spark, folder):
+    """Missing, malformed and repeated identities over every row of the panel."""
     bad = F.concat(F.lit("Q:"), F.col("sl_no").cast("string"))
     return history.id_quality(
         customer_panel(spark, folder).select(F.when(F.col("sl_no") % 50 == 7, bad).otherwise(F.col("identity_key")).alias("identity_key"))
@@ -456,20 +485,6 @@ def id_quality_all_months(spark, folder):
 
 @query(
     "reporting_period_check",
-    with_(
-        """SELECT count(*) AS rows, count(*) FILTER (WHERE report_month <> '2026-08') AS other_month_rows,
-                  count(*) FILTER (WHERE report_month <> '2026-08') = 0 AS reporting_period_valid
-           FROM typed WHERE report_month >= '2026-07'""",
-        CUSTOMER,
-    ),
-)
-def reporting_period_check(spark, folder):
-    rows = customer_panel(spark, folder).where(F.col("report_month") >= "2026-07")
-    return history.period_check(rows, "2026-08")
-
-
-@query(
-    "reporting_period_by_month",
     with_(
         """, batches AS (SELECT report_month, unnest([report_month,
                strftime(CAST(report_month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m')]) AS expected FROM typed)
@@ -479,36 +494,71 @@ def reporting_period_check(spark, folder):
         CUSTOMER,
     ),
 )
-def reporting_period_by_month(spark, folder):
+def reporting_period_check(spark, folder):
     """Each month of the panel as a batch of its own, checked against itself and against the next month."""
     following = F.date_format(F.add_months(F.to_date(F.concat("report_month", F.lit("-01"))), 1), "yyyy-MM")
     rows = customer_panel(spark, folder).select("report_month", F.col("report_month").alias("batch"), F.explode(F.array("report_month", following)).alias("expected"))
     return history.period_check(rows, F.col("expected"), ["batch", "expected"])
 
 
+_GATE_MONTH = "2026-05"
+_GIVEN = sql_list([c for c in ENRICHED_COLUMNS if c not in ("source_page", "source_section")] + ["source_line"])
+_GATE_ROWS = f"""gate_rows AS (
+  SELECT 'one month' AS batch, {sql_list(ENRICHED_COLUMNS)} AS given, report_month, identity_key, date_of_approval, start_date, original_doc, revised_doc,
+    CAST(original_cost AS VARCHAR) AS original_cost, CAST(revised_cost AS VARCHAR) AS revised_cost,
+    CAST(expenditure AS VARCHAR) AS expenditure, CAST(physical_progress AS VARCHAR) AS physical_progress
+  FROM typed WHERE report_month = '{_GATE_MONTH}'
+  UNION ALL SELECT 'damaged history', {_GIVEN}, report_month, CASE WHEN sl_no % 50 = 7 THEN 'Q ' || sl_no ELSE identity_key END, date_of_approval,
+    CASE WHEN sl_no % 9 = 4 THEN '2020-01' ELSE start_date END, original_doc, revised_doc,
+    CASE WHEN sl_no % 8 = 5 THEN 'about ten' ELSE CAST(original_cost AS VARCHAR) END, CAST(revised_cost AS VARCHAR),
+    CAST(expenditure AS VARCHAR), CASE WHEN sl_no % 12 = 1 THEN '100.5' WHEN sl_no % 12 = 2 THEN '-1' ELSE CAST(physical_progress AS VARCHAR) END
+  FROM (SELECT * FROM typed UNION ALL SELECT * FROM typed WHERE sl_no % 7 = 3)),
+gate_keys AS (SELECT batch, identity_key, report_month, count(*) AS n FROM gate_rows GROUP BY 1, 2, 3),
+gate_ids AS (SELECT batch, identity_key, sum(n) AS n, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS repeated,
+  coalesce(regexp_matches(identity_key, '^[PL]:[^\\s]+$'), false) AS ok FROM gate_keys GROUP BY 1, 2),
+gate_id_counts AS (SELECT batch, sum(CASE WHEN identity_key IS NULL THEN n ELSE 0 END) AS missing_ids,
+  sum(CASE WHEN identity_key IS NOT NULL AND NOT ok THEN n ELSE 0 END) AS malformed_ids,
+  sum(CASE WHEN ok AND n > 1 THEN n ELSE 0 END) AS duplicate_project_rows, count(*) FILTER (WHERE ok AND n > 1) AS duplicate_project_ids,
+  sum(CASE WHEN identity_key IS NOT NULL THEN repeated ELSE 0 END) AS duplicate_project_month_rows FROM gate_ids GROUP BY 1),
+gate_values AS (SELECT batch, first(given) AS given, count(*) > 0 AND count(*) FILTER (WHERE report_month IS DISTINCT FROM '{_GATE_MONTH}') = 0 AS period_ok,
+  {' + '.join(f"count(*) FILTER (WHERE {c} IS NOT NULL AND NOT regexp_matches({c}, '^(0[1-9]|1[0-2])/[0-9]{{4}}$'))" for c in DATE_FIELDS)} AS malformed_dates,
+  {' + '.join(f"count(*) FILTER (WHERE TRY_CAST({c} AS DOUBLE) < 0 OR ({c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL))" for c in ('original_cost', 'revised_cost', 'expenditure'))} AS invalid_numeric_values,
+  count(*) FILTER (WHERE TRY_CAST(physical_progress AS DOUBLE) NOT BETWEEN 0 AND 100 OR (physical_progress IS NOT NULL AND TRY_CAST(physical_progress AS DOUBLE) IS NULL))
+    AS impossible_progress_values FROM gate_rows GROUP BY 1),
+gate AS (SELECT batch, array_to_string(list_sort(list_filter({sql_list(ENRICHED_COLUMNS)}, lambda x: NOT list_contains(given, x))), ';') AS missing_columns,
+  array_to_string(list_sort(list_filter(given, lambda x: NOT list_contains({sql_list(ENRICHED_COLUMNS)}, x))), ';') AS unexpected_columns,
+  CAST(missing_ids AS BIGINT) AS missing_ids, CAST(malformed_ids AS BIGINT) AS malformed_ids, CAST(duplicate_project_rows AS BIGINT) AS duplicate_project_rows,
+  duplicate_project_ids, period_ok AS reporting_period_valid, CAST(duplicate_project_month_rows AS BIGINT) AS duplicate_project_month_rows,
+  malformed_dates, invalid_numeric_values, impossible_progress_values FROM gate_values JOIN gate_id_counts USING (batch))"""
+
+
 @query(
     "incoming_batch_gate",
     with_(
-        """, b AS (SELECT * FROM typed WHERE report_month = '2026-05')
-        SELECT true AS schema_valid, '' AS missing_columns, '' AS unexpected_columns,
-          count(*) FILTER (WHERE identity_key IS NULL) AS missing_ids, 0::BIGINT AS malformed_ids,
-          0::BIGINT AS duplicate_project_rows, 0::BIGINT AS duplicate_project_ids, true AS reporting_period_valid,
-          0::BIGINT AS duplicate_project_month_rows,
-          count(*) FILTER (WHERE date_of_approval = 'N.A.') AS malformed_dates,
-          count(*) FILTER (WHERE expenditure < 0) AS invalid_numeric_values,
-          0::BIGINT AS impossible_progress_values,
-          CASE WHEN count(*) FILTER (WHERE date_of_approval = 'N.A.' OR expenditure < 0) = 0 THEN 'VALID' ELSE 'INVALID' END
+        """SELECT missing_columns = '' AND unexpected_columns = '' AS schema_valid, *,
+          CASE WHEN missing_columns = '' AND unexpected_columns = '' AND reporting_period_valid AND malformed_ids + duplicate_project_rows
+            + duplicate_project_month_rows + malformed_dates + invalid_numeric_values + impossible_progress_values = 0 THEN 'VALID' ELSE 'INVALID' END
             AS validation_status
-        FROM b""",
-        CUSTOMER,
+        FROM gate""",
+        CUSTOMER, _GATE_ROWS,
     ),
 )
 def incoming_batch_gate(spark, folder):
-    from ..operators.identity import enrich_panel
-    from ..sources.panel import customer_month
-
-    batch = enrich_panel(customer_month(spark, folder)).where(F.col("report_month") == "2026-05")
-    return history.batch_gate(batch, "2026-05")
+    """One month as it is, and the whole history with faults of every kind, delivered as that month."""
+    rows = written(enrich_panel(customer_month(spark, folder)), "enriched")
+    number = F.col("sl_no")
+    damaged = rows.unionByName(rows.where(number % 7 == 3)).withColumns(
+        {
+            "identity_key": F.when(number % 50 == 7, F.concat(F.lit("Q "), number.cast("string"))).otherwise(F.col("identity_key")),
+            "start_date": F.when(number % 9 == 4, "2020-01").otherwise(F.col("start_date")),
+            "original_cost": F.when(number % 8 == 5, "about ten").otherwise(F.col("original_cost").cast("string")),
+            "physical_progress": F.when(number % 12 == 1, "100.5").when(number % 12 == 2, "-1").otherwise(F.col("physical_progress").cast("string")),
+            "source_line": F.lit(1),
+        }
+    ).drop("source_page", "source_section")
+    batches = {"one month": rows.where(F.col("report_month") == _GATE_MONTH), "damaged history": damaged}
+    gated = [history.batch_gate(batch, _GATE_MONTH).withColumn("batch", F.lit(name)) for name, batch in batches.items()]
+    return gated[0].unionByName(gated[1])
 
 
 _SPLIT = f"""parts AS (

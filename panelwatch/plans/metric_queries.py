@@ -561,11 +561,39 @@ def slice_comparison(spark, folder):
     return _compared(spark, folder)
 
 
-@query("models_share_rows", "SELECT 0::BIGINT AS unmatched_rows")
+_KEYED = f"SELECT identity_key, prediction_month, {Y} FROM"
+_UNMATCHED = """(SELECT count(*) FROM ({a} EXCEPT ALL {b})) + (SELECT count(*) FROM ({b} EXCEPT ALL {a}))"""
+_BOTH = {
+    "same rows": (f"{_KEYED} predictions WHERE model = 'BASELINE'", f"{_KEYED} predictions WHERE model = 'CHALLENGER'"),
+    "unequal rows": (
+        f"{_KEYED} predictions WHERE model = 'BASELINE' AND identity_key NOT LIKE '%7'",
+        f"{_KEYED} predictions WHERE model = 'CHALLENGER' AND (fold <> 3 OR identity_key NOT LIKE '%5') UNION ALL "
+        f"{_KEYED} predictions WHERE model = 'CHALLENGER' AND identity_key LIKE '%11'",
+    ),
+}
+
+
+@query(
+    "models_share_rows",
+    with_(
+        " UNION ALL ".join(
+            f"SELECT '{case}' AS inputs, " + _UNMATCHED.format(a=f"({a})", b=f"({b})") + " AS unmatched_rows" for case, (a, b) in _BOTH.items()
+        ),
+        *PRED,
+    ),
+)
 def models_share_rows(spark, folder):
-    return slices.unmatched_rows(predictions(spark, folder), Y, BASELINE, CHALLENGER).agg(
-        F.count("*").alias("unmatched_rows")
+    """The guard on models that scored the same rows, and on models with missing and repeated rows."""
+    rows = stored_predictions(spark, folder)
+    one, other, key = F.col("model") == BASELINE, F.col("model") == CHALLENGER, F.col("identity_key")
+    unequal = rows.where((one & ~key.like("%7")) | (other & ((F.col("fold") != 3) | ~key.like("%5")))).unionByName(
+        rows.where(other & key.like("%11"))
     )
+    found = [
+        slices.unmatched_rows(given, Y, BASELINE, CHALLENGER).agg(F.count("*").alias("unmatched_rows")).withColumn("inputs", F.lit(case))
+        for case, given in (("same rows", rows), ("unequal rows", unequal))
+    ]
+    return found[0].unionByName(found[1])
 
 
 _MONTHS = ("2020-04", "2020-05", "2021-01", "2022-01")
@@ -1149,30 +1177,6 @@ def operational_verdict(spark, folder):
     return policy.operational_verdict(policy.policy_comparison(overall, BASELINE, CHALLENGER))
 
 
-@query(
-    "importance_ranking",
-    with_(
-        """, i AS (SELECT fold, unnest(['progress_current', 'months_observed', 'sector', 'agency']) AS feature_name,
-              unnest([avg(progress_current) / 100, avg(months_observed) / 100, count(DISTINCT sector) / 100.0::DOUBLE, count(DISTINCT agency) / 100.0::DOUBLE]) AS importance
-              FROM predictions WHERE model = 'BASELINE' GROUP BY fold)
-        SELECT feature_name, round(avg(importance), 6) AS mean_importance, round(stddev_pop(importance), 6) AS sd_importance,
-          feature_name IN ('progress_current') AS stable_feature, feature_name IN ('sector', 'agency', 'months_observed') AS prior_drift_flag
-        FROM i GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3""",
-        *PRED,
-    ),
-)
-def importance_ranking(spark, folder):
-    # Shares of each fold stand in for model importances, which have no SQL counterpart.
-    stats = baseline_predictions(spark, folder).groupBy("fold").agg(
-        (F.avg("progress_current") / 100).alias("progress_current"), (F.avg("months_observed") / 100).alias("months_observed"),
-        (F.countDistinct("sector") / 100).alias("sector"), (F.countDistinct("agency") / 100).alias("agency"),
-    )
-    names = ("progress_current", "months_observed", "sector", "agency")
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature_name"), F.col(n).alias("importance")) for n in names])
-    importances = stats.select("fold", F.explode(pairs).alias("p")).select("fold", "p.*")
-    return metrics.rounded(compare.importance_ranking(importances, set(STABLE), set(DRIFTING), 3))
-
-
 _NUMERIC, _TEXT = split_features(ALL_FEATURES)
 _RANKED = ", ".join(f"'{f}'" for f in STABLE), ", ".join(f"'{f}'" for f in DRIFTING)
 
@@ -1182,7 +1186,7 @@ def _share(part: str, whole: str) -> str:
 
 
 @query(
-    "correlation_ranking",
+    "importance_ranking",
     with_(
         ", base AS (SELECT * FROM predictions WHERE model = 'BASELINE'), imp AS ("
         + " UNION ALL ".join(
@@ -1204,7 +1208,7 @@ def _share(part: str, whole: str) -> str:
         *PRED,
     ),
 )
-def correlation_ranking(spark, folder):
+def importance_ranking(spark, folder):
     """Every feature by the size of its correlation with the target, per fold; for text, the correlation ratio."""
     rows = baseline_predictions(spark, folder)
     pairs = [F.struct(F.lit(f).alias("feature_name"), F.col(f).cast("double").alias("x"), F.lit(None).cast("string").alias("v")) for f in _NUMERIC]

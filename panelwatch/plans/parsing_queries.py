@@ -329,7 +329,7 @@ def month_arithmetic(spark, folder):
 )
 def effective_value(spark, folder):
     revised = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") * 2)
-    return _orders(spark, folder).select("o_orderkey", F.coalesce(revised, "o_totalprice").alias("effective"))
+    return _orders(spark, folder).select("o_orderkey", numbers.effective_value(revised, F.col("o_totalprice")).alias("effective"))
 
 
 @query(

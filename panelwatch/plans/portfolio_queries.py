@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+from uuid import uuid4
 
-from ..operators import changes, intelligence, portfolio
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import changes, intelligence, portfolio, search_index
+from ..session import run_folder, written
 from .inputs import supplier_snapshots
 from .registry import query
 from .sqltext import SUPPLIER, js, month_text, with_
@@ -114,6 +118,29 @@ def search_top(spark, folder):
     return portfolio.search_top(_latest(spark, folder), " ASIA ").select("project_id", "code", "name")
 
 
+_SEARCHES = ("ASIA", "su", "9", "#00000001", " brand#2", "no such entity")
+
+
+@query(
+    "indexed_search",
+    with_(
+        " UNION ALL ".join(
+            f"SELECT '{q}' AS query, project_id, code, name FROM latest WHERE contains({_TEXT}, '{q.strip().lower()}')" for q in _SEARCHES
+        ),
+        *_BASE,
+    ),
+)
+def indexed_search(spark, folder):
+    """Every match of several searches, from one index of the snapshot."""
+    view = written(_latest(spark, folder), "latest")
+    index = f"{run_folder(spark)}/search-{uuid4().hex}"
+    search_index.write_index(view, index)
+    found = [
+        search_index.indexed_search(view, index, q).select(F.lit(q).alias("query"), "project_id", "code", "name") for q in _SEARCHES
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "portfolio_filter",
     with_(

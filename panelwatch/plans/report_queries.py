@@ -356,15 +356,27 @@ def tag_locations(spark, folder):
     return profile.tag_locations(profile.tagged_columns(_title_rows(spark, folder)))
 
 
+_LISTED = """all_rows AS (SELECT path, dataset_type, report_month, title, row_number, fields FROM file_rows
+  UNION ALL SELECT 'raw/' || report_month || '/Project-List.csv', 'Project-List', report_month, 'Listing', CAST(sl_no AS INTEGER),
+    [CAST(sl_no AS VARCHAR), 'UID ' || coalesce(project_code, legacy_ocms_code, ''), project_name, state] FROM panel)"""
+
+
 @query(
     "id_column_candidates",
     with_(
         "SELECT path, dataset_type, report_month, column_index FROM tagged WHERE list_contains(semantic_tags, 'project_id')",
-        *_BASE, _FIRST_50, _TAGGED,
+        SUPPLIER, _ROWS, _LISTED, _CELLS.replace("FROM file_rows", "FROM all_rows"), _PROFILE, _FIRST_50, _TAGGED,
     ),
 )
 def id_column_candidates(spark, folder):
-    return profile.id_candidates(profile.tagged_columns(_title_rows(spark, folder)))
+    """Identifier columns among the report files and monthly lists of entities."""
+    code = F.concat(F.lit("UID "), F.coalesce("project_code", "legacy_ocms_code", F.lit("")))
+    listed = supplier_month(spark, folder).select(
+        F.concat(F.lit("raw/"), "report_month", F.lit("/Project-List.csv")).alias("path"), F.lit("Project-List.csv").alias("file_name"),
+        F.lit("Project-List").alias("dataset_type"), "report_month", F.lit("Listing").alias("title"),
+        F.col("sl_no").cast("int").alias("row_number"), F.array(F.col("sl_no").cast("string"), code, "project_name", "state").alias("fields"),
+    )
+    return profile.id_candidates(profile.tagged_columns(_title_rows(spark, folder).unionByName(listed)))
 
 
 @query(

@@ -48,14 +48,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[application]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables, inside the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/panelwatch-{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    Results are plans that read such tables, so call this once they are stored elsewhere; an
+    application that stores its results can call it after each run. What other applications
+    keep in the shared folder stays.
+    """
+    system, where = _file_system(spark, run_folder(spark))
+    system.delete(where, True)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several jobs scan the same intermediate (model fits, iterations): the
-    table survives the loss of any executor and cuts the lineage.
+    table survives the loss of any executor and cuts the lineage. The folders of all such
+    tables are in ``run_folder``; ``discard`` removes one, ``remove_scratch`` all of them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

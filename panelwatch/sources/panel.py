@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.lexicon import SECTORS
 from ..functions.months import month_label, month_number, month_number_of, month_text, parse_month_date
-from ..functions.numbers import cents
+from ..functions.numbers import cents, effective_value
 
 PANEL_COLUMNS = (
     "report_month", "sl_no", "project_code", "legacy_ocms_code",
@@ -47,8 +47,8 @@ def typed_panel(panel: DataFrame) -> DataFrame:
         )
         .withColumns(
             {
-                "effective_end": F.coalesce("revised_end", "original_end"),
-                "effective_cost": F.coalesce("revised_cost", "original_cost"),
+                "effective_end": effective_value(F.col("revised_end"), F.col("original_end")),
+                "effective_cost": effective_value(F.col("revised_cost"), F.col("original_cost")),
                 "traceable": F.coalesce(
                     F.col("identity_key").startswith("P:") | F.col("identity_key").startswith("L:"),
                     F.lit(False),

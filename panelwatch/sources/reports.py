@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.lexicon import REPORT_TYPES
 from ..functions.months import month_from_path
+from ..functions.numbers import effective_value
 from ..functions.text import parse_currency, parse_numeric, parse_paren_costs, strip
 from ..operators.digests import ordered_digest
 from ..session import written
@@ -286,7 +287,7 @@ def report_files_from_panel(panel: DataFrame) -> DataFrame:
     A file holds one line per state, sector or progress range, so the lines gathered for
     one file do not grow with the panel. Some files have an unknown type or no month.
     """
-    effective = F.coalesce("revised_cost", "original_cost")
+    effective = effective_value(F.col("revised_cost"), F.col("original_cost"))
     kinds = F.array(
         *[
             F.struct(

@@ -279,7 +279,7 @@ def test_all_features_are_ranked_by_correlation(spark, data):
     from panelwatch.plans import all_queries
     from panelwatch.plans.inputs import TARGET, baseline_predictions
 
-    got = {r.feature_name: r for r in all_queries()["correlation_ranking"](spark, data).collect()}
+    got = {r.feature_name: r for r in all_queries()["importance_ranking"](spark, data).collect()}
     assert set(got) == set(ALL_FEATURES)
     rows = baseline_predictions(spark, data).select("fold", TARGET, "progress_current", "sector").collect()
 
