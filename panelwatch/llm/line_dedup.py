@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import written
 from .common import SPACE, same, text_key
@@ -185,8 +186,7 @@ def keep_bitmaps(
             T.StructField("doc", doc_type), T.StructField("row_key", T.LongType()), T.StructField("n", T.IntegerType()),
         ]
     )
-    arrow_type = pa.int64() if isinstance(doc_type, T.LongType) else T_TO_ARROW[type(doc_type)]
-    found = written(ranged.mapInArrow(_stream(min_docs, arrow_type), schema), "line-drops")
+    found = written(ranged.mapInArrow(_stream(min_docs, to_arrow_type(doc_type)), schema), "line-drops")
     # At most two rows for each partition of the sort, so this table is small at any size.
     totals = (
         found.where(F.col("kind") == SUMMARY)
@@ -207,10 +207,6 @@ def keep_bitmaps(
     )
 
 
-#: Arrow types of the other id types that documents may have.
-T_TO_ARROW = {T.IntegerType: pa.int32(), T.ShortType: pa.int16(), T.StringType: pa.string()}
-
-
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_row`` with all columns of a document, ``_text``, and its bitmap where it loses lines."""
     rows = docs.select(

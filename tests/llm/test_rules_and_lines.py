@@ -104,3 +104,15 @@ def test_kept_text_is_what_the_digest_says(spark, data):
     texts = line_dedup.without_repeated_lines(docs, bitmaps).select("doc_id", F.sha2("text", 256).alias("h"))
     digests = {r.doc_id: r.kept_sha256 for r in line_dedup.digests(docs, bitmaps).collect()}
     assert {r.doc_id: r.h for r in texts.collect()} == digests
+
+
+def test_ids_of_any_type(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, line), (2, f"{line}\nshort"), (3, line), (4, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.digests(plain, line_dedup.keep_bitmaps(plain)).collect())
+    assert want == [("1", 1), ("2", 1), ("3", 0), ("4", 0)]
+    for kind in ("decimal(20,0)", "string", "int", "date"):
+        docs = plain.withColumn("doc_id", plain.doc_id.cast(kind) if kind != "date" else F.date_add(F.lit("2020-01-01"), plain.doc_id.cast("int")))
+        got = line_dedup.digests(docs, line_dedup.keep_bitmaps(docs)).collect()
+        assert [r.n_dropped for r in sorted(got, key=lambda r: r.doc_id)] == [1, 1, 0, 0]
