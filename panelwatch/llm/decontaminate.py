@@ -3,9 +3,11 @@
 An item is cut into windows of 13 words (a shorter item is one window). A document holds a
 window only if it holds every word of it, so one word is a sufficient prefix: the one that is
 rarest over all documents. Document words are joined with these prefix words; a candidate must
-leave room for the window before and behind (positional and length bounds), and is then
-verified word by word. The words of a document are matched where it is scanned, so texts are
-not shuffled; windows are broadcast in blocks of ``BLOCK`` at most.
+leave room for the window before and behind (positional and length bounds), and the words of
+the document at that place are then verified against the window by the SHA-256 that names it.
+The words of a document are matched where it is scanned, so texts are not shuffled; windows are
+broadcast in blocks of ``BLOCK`` rows at most, of a hash, a digest and two numbers each, so that
+the size of a block does not depend on how long words are.
 
 Defined cases: null and empty texts have no words, hit nothing and match nothing; they are
 never contaminated. Items without words have no windows. A null item id causes hits but is not
@@ -26,7 +28,7 @@ from .common import same, text_key
 WINDOW = 13
 #: Contaminated when hit words are at least one in so many.
 SHARE = 20
-#: Windows in one broadcast; 200,000 of them take some 60 MB.
+#: Rows in one broadcast: 200,000 take some 40 MB, however long the words are.
 BLOCK = 200_000
 
 #: Fixed value: ASCII characters that are not part of a word, once A-Z are lower case.
@@ -53,7 +55,7 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))
     cut = words.select("item_id", "words", F.explode(starts).alias("start"))
     return cut.select("item_id", F.slice("words", F.col("start"), F.lit(width)).alias("window")).select(
-        "item_id", F.sha2(F.array_join("window", " "), 256).alias("window_id"), "window"
+        "item_id", _window_id(F.col("window")).alias("window_id"), "window"
     ).distinct()
 
 
@@ -63,27 +65,39 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _key(word: Column) -> Column:
+    """Hash that stands for a word in joins; what shares it by chance fails the verification."""
+    return F.when(word.isNotNull(), F.xxhash64(word))
+
+
+def _window_id(words: Column) -> Column:
+    return F.sha2(F.array_join(words, " "), 256)
+
+
 def _rarity(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """How often each of the given words occurs in all documents."""
-    found = tokens.select(F.explode_outer("words").alias("word")).join(vocabulary, "word")
-    return found.groupBy("word").agg(F.count("*").alias("n"))
+    found = tokens.select(F.explode_outer("words").alias("word")).select(_key(F.col("word")).alias("key")).join(vocabulary, "key")
+    return found.groupBy("key").agg(F.count("*").alias("n"))
 
 
 def _anchored(cut: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(word, before, window_id, window): each window under its rarest word, ``before`` words in."""
-    spread = cut.select("window_id", "window", F.posexplode("window").alias("before", "word"))
-    vocabulary = written(spread.select("word").distinct(), "benchmark-words")
+    """(key, before, window_id, width): each window under its rarest word, ``before`` words in."""
+    spread = cut.select("window_id", F.size("window").alias("width"), F.posexplode("window").alias("before", "word")).select(
+        "window_id", "width", "before", _key(F.col("word")).alias("key")
+    )
+    vocabulary = written(spread.select("key").distinct(), "benchmark-words")
     blocks = max(1, ceil(vocabulary.count() / BLOCK))
     counts = None
     for block in range(blocks):
-        part = vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == block)
+        part = vocabulary.where(F.pmod("key", F.lit(blocks)) == block)
         counted = _rarity(tokens, F.broadcast(part))
         counts = counted if counts is None else counts.unionByName(counted)
-    ranked = spread.join(counts, "word", "left").select(
-        "window_id", "window", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "before").alias("rank")
+    # Written before they are joined, so that the join may split a word that most windows have.
+    ranked = spread.join(written(counts, "word-counts"), "key", "left").select(
+        "window_id", "width", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "before").alias("rank")
     )
-    return ranked.groupBy("window_id", "window").agg(F.min("rank").alias("rank")).select(
-        "rank.word", "rank.before", "window_id", "window"
+    return ranked.groupBy("window_id", "width").agg(F.min("rank").alias("rank")).select(
+        "rank.key", "rank.before", "window_id", "width"
     )
 
 
@@ -121,21 +135,21 @@ def judged(
     spread = tokens.select(
         "doc", "row_key", "words",
         F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("pos", "token"),
-    )
+    ).select("doc", "row_key", "words", "pos", _key(F.col("token")).alias("token_key"))
     start = F.col("pos") - F.lit(1) - F.col("before")
-    fits = (start >= 0) & (start + F.size("window") <= F.size("words"))
-    equal = F.slice("words", start + 1, F.size("window")) == F.col("window")
+    fits = (start >= 0) & (start + F.col("width") <= F.size("words"))
+    equal = _window_id(F.slice("words", start + 1, F.col("width"))) == F.col("window_id")
     found = None
     for block in range(blocks):
         part = anchors.where(F.pmod(F.xxhash64("window_id"), F.lit(blocks)) == block)
-        met = spread.join(F.broadcast(part), (F.col("token") == F.col("word")) & fits & equal, "left").where(
+        met = spread.join(F.broadcast(part), (F.col("token_key") == F.col("key")) & fits & equal, "left").where(
             F.col("window_id").isNotNull() | ((F.col("pos") == 0) if block == 0 else F.lit(False))
         ).select(
             "doc", "row_key", "window_id",
             F.when(F.col("pos") == 0, F.size("words")).alias("n_words"),
             F.when(
                 F.col("window_id").isNotNull(),
-                F.struct(start.alias("start"), (start + F.size("window")).alias("end")),
+                F.struct(start.alias("start"), (start + F.col("width")).alias("end")),
             ).alias("span"),
         )
         found = met if found is None else found.unionByName(met)
