@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over ``documents``, each written before the next reads it."""
+"""The corpus pipeline: five stages over ``documents``, each written before the next reads it.
+
+Defined cases, for all stages: rows with a null id and rows that repeat an id are documents of
+their own and are judged by their own text; an empty table stays empty; further columns, whatever
+their names, go through unchanged. Very long texts are processed whole. Null and empty texts have
+no words: the quality rules reject them, so that no later stage sees them; a stage that is
+applied alone keeps them (see each stage).
+"""
 
 from __future__ import annotations
 
@@ -10,27 +17,33 @@ from panelwatch.session import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null and empty texts do not."""
     return quality_rules.kept_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that the largest of three or more documents keeps for them."""
+    """Documents without the lines that the largest of three or more documents keeps for them.
+
+    No document goes; a null or empty text is one empty line and stays as it is.
+    """
     return line_dedup.without_repeated_lines(docs, line_dedup.keep_bitmaps(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one with the smallest id.
+
+    Texts without words have one fingerprint and are a group like any other.
+    """
     return simhash.one_of_each(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark; texts without words are clean."""
     return decontaminate.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the number of copies."""
+    """Documents that the mix takes, with the number of copies; texts without words have size 0."""
     return mixing.with_copies(docs)
 
 
