@@ -80,3 +80,23 @@ def test_pipeline_stages_take_effect(spark, data):
     whole = corpus_pipeline.run(spark, data)
     assert {r.doc_id for r in whole.collect()} == kept_ids[-1]
     assert whole.columns[: len(docs.columns)] == docs.columns
+
+
+def test_pipeline_takes_odd_rows_and_an_empty_table(spark, data, tmp_path):
+    docs = odd_documents(spark)
+    prose = "the river runs past the old mill and the stones of the bridge keep their cold colour in the evening light"
+    more = spark.createDataFrame([(70 + i, f"{prose} number {i} of many", "d", i) for i in range(3)], "doc_id long, text string, source string, extra int")
+    for name in docs.columns[len(more.columns) :]:
+        more = more.withColumn(name, more["extra"])
+    whole = docs.unionByName(more)
+    for name, table in (("odd", whole), ("none", whole.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    kept = rows.collect()
+    judged = {r.doc_id for r in quality_rules.judged(whole).where("kept").collect()}
+    assert rows.columns[: len(whole.columns)] == whole.columns
+    assert {r.doc_id for r in kept} <= judged and judged & {70, 71, 72}
+    assert {r.doc_id for r in kept} & {70, 71, 72} and all(r.kept == r.extra for r in kept)
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.columns == rows.columns and empty.collect() == []
