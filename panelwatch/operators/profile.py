@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.lexicon import SEMANTIC_FAMILIES
 from ..functions.numbers import NUMBER
 from ..functions.text import strip
+from ..session import written
 
 FILE_KEYS = ("path", "dataset_type", "report_month", "title")
 SAMPLES = 5  # fixed value
@@ -108,15 +109,73 @@ def column_profile(long: DataFrame, column_keys: list[str]) -> DataFrame:
         F.count("*").alias("unique_count"),
         dtype_of(F.sum("n"), counts).alias("inferred_dtype"),
     )
+    return _null_safe(stats, _samples(counted, column_keys), column_keys)
+
+
+#: A whole number in the one way of writing it, so that equal texts are equal numbers.
+WHOLE_NUMBER = r"^(0|-?[1-9][0-9]{0,17})$"
+#: Bits and bytes of one bitmap of Spark, and bytes that a value of its own costs in a shuffle at least.
+BITMAP_VALUES, BITMAP_BYTES, VALUE_BYTES = 32768, 4096, 16
+#: Rows at the top of a column in which the samples are looked for first.
+SAMPLE_ROWS = 1000
+
+
+def _few_samples(long: DataFrame, column_keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(samples of the columns whose first rows show enough distinct values, keys of the other columns)."""
+    order = Window.partitionBy(*column_keys).orderBy("row_number", "value")
+    top = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
+    first = written(_value_counts(top, column_keys), "top-values")
+    enough = first.groupBy(*column_keys).agg(F.count("*").alias("distinct"))
+    kept = first.join(enough.where(F.col("distinct") >= SAMPLES), column_keys, "left_semi")
+    return _samples(kept, column_keys), enough.where(F.col("distinct") < SAMPLES).select(*column_keys)
+
+
+def _samples(counted: DataFrame, column_keys: list[str]) -> DataFrame:
+    """The first distinct values of each column, joined."""
     order = Window.partitionBy(*column_keys).orderBy("first_row", "value")
-    samples = (
+    return (
         counted.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= SAMPLES)
         .groupBy(*column_keys)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s"))
         .select(*column_keys, F.array_join(F.transform("s", lambda x: x["value"]), " | ").alias("samples"))
     )
-    return _null_safe(stats, samples, column_keys)
+
+
+def table_profile(long: DataFrame, column_keys: list[str]) -> DataFrame:
+    """``column_profile`` of long tables: whole numbers of dense columns are counted in bitmaps.
+
+    A column of whole numbers that fill their range is one bitmap per 32,768 numbers of the
+    range and task, instead of one row per distinct number, so an id column costs an eighth of
+    a byte a number in the shuffle. Which columns are dense is seen from count, least and
+    greatest number of each; all other values, and columns that are not dense, are counted one
+    by one. The result does not depend on the way. Keys must not be null.
+    """
+    whole = F.when(F.col("value").rlike(WHOLE_NUMBER), F.col("value").try_cast("long"))
+    rows = long.withColumn("whole", whole)
+    spread = rows.groupBy(*column_keys).agg(F.count("whole").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+    buckets = F.floor(F.col("high") / BITMAP_VALUES) - F.floor(F.col("low") / BITMAP_VALUES) + 2
+    # One row per column of the table.
+    dense = written(spread.where((F.col("n") > 0) & (buckets * BITMAP_BYTES <= F.col("n") * VALUE_BYTES)).select(*column_keys), "dense-columns")
+    marked = rows.join(F.broadcast(dense.withColumn("dense", F.lit(True))), column_keys, "left")
+    by_bit = F.col("dense").isNotNull() & F.col("whole").isNotNull()
+    bitmaps = (
+        marked.where(by_bit)
+        .groupBy(*column_keys, F.bitmap_bucket_number("whole").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("whole")).alias("bits"), F.count("*").alias("n"))
+        .select(*column_keys, F.lit("number").alias("class"), "n", F.bitmap_count("bits").alias("distinct"))
+    )
+    counted = _value_counts(marked.where(~by_bit), column_keys).select(
+        *column_keys, value_class(F.col("value")).alias("class"), "n", F.lit(1).cast("long").alias("distinct")
+    )
+    every = bitmaps.unionByName(counted)
+    counts = {k: F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)) for k in ("currency", "paren", "range", "number")}
+    stats = every.groupBy(*column_keys).agg(
+        F.sum("n").alias("non_null_count"), F.sum("distinct").alias("unique_count"), dtype_of(F.sum("n"), counts).alias("inferred_dtype")
+    )
+    early, late = _few_samples(long, column_keys)
+    samples = early.unionByName(_samples(_value_counts(long.join(late, column_keys, "left_semi"), column_keys), column_keys))
+    return stats.join(samples, column_keys, "left")
 
 
 COLUMN_KEYS = [*FILE_KEYS, "column_index"]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import feature_state, features as ops, history, labels as label_ops, splits
 from ..operators.identity import enrich_panel
@@ -162,20 +163,25 @@ def point_in_time_proof(spark, folder):
     return ops.features_that_look_ahead(written(customer_panel(spark, folder), "panel"), _CUTOFF)
 
 
-_LAST_MONTH = "(SELECT max(report_month) FROM typed)"
+_ARRIVING = 6
+_LAST_MONTHS = f"(SELECT DISTINCT report_month FROM typed ORDER BY 1 DESC LIMIT {_ARRIVING})"
 
 
 @query(
     "arriving_month_features",
-    with_(f"SELECT {_FEATURE_SQL} FROM features WHERE prediction_month = {_LAST_MONTH}", CUSTOMER, FEATURES),
+    with_(f"SELECT {_FEATURE_SQL} FROM features WHERE prediction_month IN {_LAST_MONTHS}", CUSTOMER, FEATURES),
 )
 def arriving_month_features(spark, folder):
-    """Features of the latest month from the state that the earlier months left behind."""
+    """Features of the last months, folded one by one into the state that all earlier months left."""
     panel = written(customer_panel(spark, folder), "panel")
-    months = [r[0] for r in panel.select("report_month").distinct().orderBy(F.desc("report_month")).limit(2).collect()]
-    state = feature_state.state_of(panel, months[1])
-    found, _ = feature_state.fold(state, panel.where(F.col("report_month") == months[0]), months[0])
-    return _rounded_features(found)
+    latest = panel.select("report_month").distinct().orderBy(F.desc("report_month")).limit(_ARRIVING + 1).collect()
+    before, *arriving = sorted(r[0] for r in latest)
+    state, parts = feature_state.state_of(panel, before), []
+    for month in arriving:
+        found, after = feature_state.fold(state, panel.where(F.col("report_month") == month), month)
+        state = written(after, "feature-state")
+        parts.append(_rounded_features(found))
+    return reduce(DataFrame.unionByName, parts)
 
 
 _LABEL_COLUMNS = ", ".join(label_ops.TARGET_NAMES)

@@ -991,9 +991,9 @@ def run_comparison_summary(spark, folder):
     return metrics.rounded(compare.run_comparison_summary(compared, "fold", _RUN_METRICS))
 
 
-_LEAVES = f"""leaves AS (SELECT model, fold, leaf, sha256(string_agg(row_text, chr(10) ORDER BY at)) AS digest FROM (
-  SELECT model, fold, row_text, at, at // {LEAF} AS leaf FROM (
-    SELECT model, fold, row_text, row_number() OVER (PARTITION BY model, fold ORDER BY identity_key, prediction_month, row_text) - 1 AS at FROM (
+_LEAVES = f"""leaves AS (SELECT model, fold, leaf, sha256(string_agg(row_text, chr(10) ORDER BY place)) AS digest FROM (
+  SELECT model, fold, row_text, place, place // {LEAF} AS leaf FROM (
+    SELECT model, fold, row_text, row_number() OVER (PARTITION BY model, fold ORDER BY identity_key, prediction_month, row_text) - 1 AS place FROM (
       SELECT *, identity_key || '|' || prediction_month || '|' || printf('%.12f', {P}) AS row_text FROM predictions))) GROUP BY 1, 2, 3)"""
 
 

@@ -490,3 +490,28 @@ def unpivoted_profile(spark, folder):
     )
     long = profile.unpivoted(rows, "c_custkey").where(F.col("column_name") != "c_custkey")
     return profile.column_profile(long, ["column_name"]).drop("samples")
+
+
+_WIDE = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+_WIDE_SQL = [c if c != "o_totalprice" else "o_totalprice::DECIMAL(18,2)" for c in _WIDE]
+
+
+@query(
+    "table_profile",
+    f"""WITH wide AS (SELECT o_orderkey AS row_number, unnest([{', '.join(f"'{c}'" for c in _WIDE)}]) AS column_name,
+          unnest([{', '.join(f'CAST({c} AS VARCHAR)' for c in _WIDE_SQL)}]) AS value FROM orders),
+        filled AS (SELECT *, {_CLASS} AS class FROM wide WHERE trim(value) <> ''),
+        firsts AS (SELECT column_name, value, min(row_number) AS first_row FROM filled GROUP BY 1, 2),
+        shown AS (SELECT column_name, string_agg(value, ' | ' ORDER BY first_row, value) AS samples FROM (
+          SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY first_row, value) AS r FROM firsts) WHERE r <= 5 GROUP BY 1),
+        counted AS (SELECT column_name, count(*) AS n, count(DISTINCT value) AS unique_count,
+          count(*) FILTER (WHERE class = 'currency') AS cur, count(*) FILTER (WHERE class = 'paren') AS par,
+          count(*) FILTER (WHERE class = 'range') AS ran, count(*) FILTER (WHERE class = 'number') AS num FROM filled GROUP BY 1)
+        SELECT column_name, n AS non_null_count, unique_count, {_DTYPE} AS inferred_dtype, samples FROM counted JOIN shown USING (column_name)""",
+)
+def table_profile(spark, folder):
+    """Profile of a wide table; its dense key columns are counted in bitmaps."""
+    rows = table(spark, folder, "orders").select(
+        *[F.col(c).cast("decimal(18,2)").alias(c) if c == "o_totalprice" else F.col(c) for c in _WIDE]
+    )
+    return profile.table_profile(profile.unpivoted(rows, "o_orderkey"), ["column_name"])

@@ -203,3 +203,50 @@ def test_profile_of_a_ragged_file(spark):
     assert (got[0].inferred_dtype, got[1].inferred_dtype, got[2].inferred_dtype) == ("numeric", "currency", "progress_range")
     assert (got[2].non_null_count, got[2].null_count, got[1].samples) == (1, 2, "₹ 5 | ₹ 6")
     assert one(profile.file_shape(rows)).duplicate_rows == 1
+
+
+def long_of(spark, columns):
+    rows = [(k, name, v) for name, values in columns.items() for k, v in enumerate(values)]
+    return spark.createDataFrame(rows, "row_number long, column_name string, value string").repartition(3)
+
+
+def test_bitmaps_count_what_values_count(spark):
+    columns = {
+        "ids": [str(i - 400) for i in range(900)] * 2,
+        "sparse": [str(i * 10**14 * (-1) ** i) for i in range(300)],
+        "edges": ["0", "-0", "007", "7", "32768", "32769", "-32768", "-32767", "999999999999999999", "1000000000000000000", "+5", " 5", "5"],
+        "mixed": [str(i % 4) if i % 3 else f"x{i % 7}" for i in range(500)],
+        "same first": ["1"] * 1500 + [str(i % 9) for i in range(100)],
+        "₹": ["₹ 5", "₹ 5", "1 (2)", "1-2"],
+    }
+    long = long_of(spark, columns)
+    want = {tuple(r) for r in profile.column_profile(long, ["column_name"]).select("column_name", "non_null_count", "unique_count", "inferred_dtype", "samples").collect()}
+    got = {tuple(r) for r in profile.table_profile(long, ["column_name"]).select("column_name", "non_null_count", "unique_count", "inferred_dtype", "samples").collect()}
+    assert got == want and len(got) == len(columns)
+    assert profile.table_profile(long.limit(0), ["column_name"]).count() == 0
+
+
+def shuffled_bytes(frame):
+    """Bytes that the exchanges of an executed plan have written."""
+    frame.collect()
+    total, nodes = 0, [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec"):
+            nodes.append(node.plan())
+        metrics = node.metrics()
+        if metrics.contains("shuffleBytesWritten"):
+            total += metrics.get("shuffleBytesWritten").get().value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_bitmaps_shuffle_less_of_a_million_integers(spark):
+    long = spark.range(1_000_000).select(F.col("id").alias("row_number"), F.lit("key").alias("column_name"), F.col("id").cast("string").alias("value"))
+    plain, bitmaps = profile.column_profile(long, ["column_name"]), profile.table_profile(long, ["column_name"])
+    big, small = shuffled_bytes(plain), shuffled_bytes(bitmaps)
+    assert 0 < small < big / 5
+    assert plain.collect() == bitmaps.collect()
