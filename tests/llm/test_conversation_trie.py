@@ -68,7 +68,7 @@ def branching(seed, n=150, turns=12):
 
 @pytest.mark.parametrize("limit", [conversation_trie.LIMIT, 20])
 def test_trie_against_brute_force(spark, limit):
-    rows = branching(limit) + [(None, 1, "user", "no conversation")]
+    rows = branching(limit, 70, 9) + [(None, 1, "user", "no conversation")]
     frame = spark.createDataFrame(rows, SCHEMA).repartition(7)
     assert got(conversation_trie.trie(frame, limit=limit)) == brute_trie(rows)
 
@@ -77,11 +77,11 @@ def test_hot_first_turn_long_conversation_and_copies(spark):
     rows = []
     for c in range(100, 220):  # a third of all share their beginning, half of these all of it
         rows += [(c, 1, "user", "hello"), (c, 2, "assistant", "hi"), (c, 3, "user", "same" if c % 2 else f"own {c}")]
-    rows += [(500, t, "user", f"turn {t}") for t in range(700)]
-    rows += [(501, t, "user", f"turn {t}") for t in range(650)]
-    rows += [(700, 5, "user", "repeated")] * 400
+    rows += [(500, t, "user", f"turn {t}") for t in range(150)]
+    rows += [(501, t, "user", f"turn {t}") for t in range(120)]
+    rows += [(700, 5, "user", "repeated")] * 90
     frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    assert got(conversation_trie.trie(frame, limit=50)) == brute_trie(rows)
+    assert got(conversation_trie.trie(frame, limit=150)) == brute_trie(rows)
 
 
 def test_pieces_of_ids_are_hashed_as_one_list(spark, monkeypatch):
@@ -108,8 +108,8 @@ def test_empty_table_and_other_columns(spark):
 
 def test_running_totals_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(conversation_trie, "BLOCK", 3)
-    rows = branching(4, 40)
-    assert got(conversation_trie.trie(spark.createDataFrame(rows, SCHEMA), limit=30)) == brute_trie(rows)
+    rows = branching(4, 30)
+    assert got(conversation_trie.trie(spark.createDataFrame(rows, SCHEMA))) == brute_trie(rows)
 
 
 def test_array_rollup_on_random_forests():

@@ -144,14 +144,14 @@ def brute_alignment(library, texts):
 
 @pytest.mark.parametrize("block", [cross_tokenizer.BLOCK, 2000])
 def test_alignment_against_brute_force(spark, library, block):
-    texts = mixed_texts(600) + ["the cat sat on the mat"] * 200
+    texts = mixed_texts(300) + ["the cat sat on the mat"] * 200
     want, pairs, top, docs = brute_alignment(library, texts)
     rows = cross_tokenizer.digests(frame(spark, texts), A, B, block=block).collect()
     assert len(rows) == len(texts)
     for r in rows:
         got = r.asDict()
         assert got == {"doc_id": r.doc_id, **want[r.doc_id]}, texts[r.doc_id]
-    assert sum(r.n_a > 0 for r in rows) > 500 and any(r.n_a == 0 and texts[r.doc_id] for r in rows)
+    assert sum(r.n_a > 0 for r in rows) > 300 and any(r.n_a == 0 and texts[r.doc_id] for r in rows)
 
     table = cross_tokenizer.aligned(frame(spark, texts), A, B, block=block)
     counted = {(r.a, r.b): (r.n_links, r.n_docs, r.best) for r in cross_tokenizer.pair_counts(table).collect()}
