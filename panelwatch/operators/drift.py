@@ -13,7 +13,6 @@ from ..functions.numbers import ratio_or_null
 NUMERIC_LIMIT, CATEGORICAL_LIMIT = 0.50, 0.20  # fixed values
 HIGH_MISSING, DOMINANT_SHARE = 0.50, 0.99  # fixed values
 REDUNDANT_CORRELATION, PERIOD_MISSING_RANGE = 0.98, 0.50  # fixed values
-MISSING = "<MISSING>"  # fixed value
 
 
 def _struct_rows(fields: list[tuple[str, dict[str, Column]]]) -> Column:
@@ -75,7 +74,8 @@ def categorical_drift(
         *[
             F.struct(
                 F.lit(f).alias("feature_name"),
-                F.coalesce(F.col(f).cast("string"), F.lit(MISSING)).alias("category"),
+                # null is a category of its own, unlike any text
+                F.col(f).cast("string").alias("category"),
             )
             for f in features
         ]
@@ -91,7 +91,7 @@ def categorical_drift(
     totals = counted.groupBy("feature_name").agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
     share1 = F.coalesce(ratio_or_null(F.col("n1"), F.col("t1")), F.lit(0.0))
     share2 = F.coalesce(ratio_or_null(F.col("n2"), F.col("t2")), F.lit(0.0))
-    missing = F.col("category") == MISSING
+    missing = F.col("category").isNull()
     return counted.join(totals, "feature_name").groupBy("feature_name").agg(
         (0.5 * F.sum(F.abs(share1 - share2))).alias("distribution_difference"),
         F.sum(F.when(missing, share1).otherwise(0.0)).alias("first_missing_rate"),

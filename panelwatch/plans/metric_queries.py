@@ -13,6 +13,7 @@ from ..operators.digests import LEAF
 from ..operators.features import build_features
 from ..operators.modelling import ALL_FEATURES, DRIFTING, STABLE, conditional_review as review_conditional, split_features
 from ..operators.splits import with_disjoint_split
+from ..session import written
 from .inputs import BASELINE, CHALLENGER, DISJOINT, TARGET as Y, baseline_predictions, predictions, stored_predictions, supervised, supplier_panel
 from .registry import query
 from .sqltext import FEATURES, LABELS, PRED, SUPERVISED, SUPPLIER, ratio, ratio0, rnd, with_
@@ -741,8 +742,9 @@ _MOVES = f"""moves AS ({' UNION ALL '.join([_numeric_drift(f) for f in _NUMBERS]
     ),
 )
 def future_drift(spark, folder):
+    # Two branches read the tagged features.
     return drift.drift_table(
-        _parts(spark, folder), "part", "development", "future", _NUMBERS, _CATEGORIES, set(DRIFTING)
+        written(_parts(spark, folder), "tagged-features"), "part", "development", "future", _NUMBERS, _CATEGORIES, set(DRIFTING)
     )
 
 

@@ -232,6 +232,13 @@ def test_support_rule_boundaries(spark):
     assert got == ["ADEQUATE"] + ["INSUFFICIENT_SAMPLE"] * 4
 
 
+def test_a_category_named_like_the_missing_marker_is_not_missing(spark):
+    rows = [("a", "<MISSING>"), ("a", None), ("b", "<MISSING>"), ("b", "<MISSING>")]
+    frame = spark.createDataFrame(rows, "part string, c string")
+    got = one(drift.categorical_drift(frame, "part", "a", "b", ["c"]))
+    assert (got.first_missing_rate, got.second_missing_rate, got.distribution_difference) == (0.5, 0.0, 0.5)
+
+
 def test_drift_measures(spark):
     frame = spark.createDataFrame(
         [("a", 1.0, "x"), ("a", 3.0, "x"), ("b", 5.0, "y"), ("b", 5.0, None)], "part string, n double, c string"
