@@ -235,7 +235,7 @@ def shuffled_bytes(frame):
         name = node.getClass().getSimpleName()
         if name == "AdaptiveSparkPlanExec":
             nodes.append(node.executedPlan())
-        elif name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec"):
+        elif name.endswith("QueryStageExec"):
             nodes.append(node.plan())
         metrics = node.metrics()
         if metrics.contains("shuffleBytesWritten"):
