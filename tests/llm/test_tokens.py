@@ -65,7 +65,7 @@ def test_code_points_are_classed_as_the_library_does(library):
 def test_parts_of_long_texts_give_the_tokens_of_the_whole(library):
     import pyarrow as pa
 
-    texts = [t for t in mixed_texts(300) if t]
+    texts = [t for t in mixed_texts(150) if t and len(t) < 400]
     column = pa.array([" ".join(texts), "no cut" + "x" * 500, *texts])
     data, offsets = byte_bpe.as_bytes(column)
     model = byte_bpe.load(A)
@@ -118,11 +118,14 @@ def brute_alignment(library, texts):
 
         ends_a, ends_b = ends(a_bytes, a.ids), ends(b_bytes, b_ids)
         cuts = sorted(set(ends_a) & set(ends_b))
-        groups, low = [], 0
+        groups = []
+        lists = [([], sorted(e.items())[::-1]) for e in (ends_a, ends_b)]
         for high in cuts:
-            mine = [",".join(str(e[k]) for k in sorted(e) if low < k <= high) for e in (ends_a, ends_b)]
-            groups.append("|".join(mine))
-            low = high
+            for mine, left in lists:
+                mine.clear()
+                while left and left[-1][0] <= high:
+                    mine.append(str(left.pop()[1]))
+            groups.append("|".join(",".join(mine) for mine, _ in lists))
         row |= {
             "n_a": len(a.ids), "n_b": len(b_ids), "n_groups": len(cuts), "n_links": len(cuts),
             "groups_sha256": hashlib.sha256(";".join(groups).encode()).hexdigest(),
