@@ -2,7 +2,8 @@
 
 Defined cases, for all stages: rows with a null id and rows that repeat an id are documents of
 their own and are judged by their own text; an empty table stays empty; further columns, whatever
-their names, go through unchanged. Very long texts are processed whole. Null and empty texts have
+their names, go through unchanged, but for those by the name of a column that the last stage adds
+(size, source_size, target, taken, copies), which it replaces. Very long texts are processed whole. Null and empty texts have
 no words: the quality rules reject them, so that no later stage sees them; a stage that is
 applied alone keeps them (see each stage).
 """
