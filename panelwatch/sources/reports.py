@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.lexicon import REPORT_TYPES
@@ -9,7 +11,7 @@ from ..functions.months import month_from_path
 from ..functions.numbers import effective_value
 from ..functions.text import parse_currency, parse_numeric, parse_paren_costs, strip
 from ..operators.digests import ordered_digest
-from ..session import written
+from ..session import root_depth, written
 from . import digest_source
 from .month_store import read_months, store_months
 
@@ -19,7 +21,8 @@ QUOTED_OR_PLAIN_FIELD = r',("(?:[^"]|"")*"|[^,]*)'
 def discover_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """Matching files below a folder, with their type (file stem) and month.
 
-    Only file metadata is read: the content column is pruned from the scan.
+    A table stored as a folder of part files is one entry, by the folder's name and the size of
+    its parts. Only file metadata is read: the content column is pruned from the scan.
     """
     files = (
         spark.read.format("binaryFile")
@@ -28,7 +31,27 @@ def discover_files(spark: SparkSession, folder: str, pattern: str = "*.csv") ->
         .load(folder)
         .select("path", F.col("length").alias("size_bytes"))
     )
-    return with_file_names(files)
+    whole = files.select(_table_path(F.col("path"), root_depth(spark, folder), pattern).alias("path"), "size_bytes")
+    return with_file_names(whole.groupBy("path").agg(F.sum("size_bytes").alias("size_bytes")))
+
+
+def _table_path(path: Column, depth: int, pattern: str) -> Column:
+    """The outermost folder, below ``depth`` components, that is a table stored in parts, else the path.
+
+    Such a folder is named like a matching file and has the extension of the part.
+    """
+    parts = F.split(path, "/")
+
+    def extension(name: Column) -> Column:
+        return F.regexp_extract(name, r"(\.[^.]+)$", 1)
+
+    own = extension(F.element_at(parts, -1))
+    places = F.filter(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: (i > depth) & F.element_at(parts, i).rlike("^" + fnmatch.translate(pattern))
+        & (own != "") & (extension(F.element_at(parts, i)) == own),
+    )
+    return F.coalesce(F.array_join(F.slice(parts, F.lit(1), F.get(places, 0)), "/"), path)
 
 
 def with_file_names(files: DataFrame) -> DataFrame:

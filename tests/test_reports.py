@@ -31,6 +31,16 @@ def test_discovery_and_routing(spark, tmp_path):
     assert counts == {"PROCESSED": 2, "SKIPPED_UNKNOWN_TYPE": 1, "SKIPPED_NO_MONTH": 1}
 
 
+def test_a_table_in_parts_is_one_entry(spark, tmp_path):
+    for name in ("2026-01/a.csv/part-0.csv", "2026-01/a.csv/part-1.csv", "2026-01/a.csv/_SUCCESS", "2026-01/b.csv", "c.csv/x=1/part-0.csv", "d.parts/e.csv"):
+        path = tmp_path / "in.csv" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("12345")
+    for root in (str(tmp_path / "in.csv"), f"file://{tmp_path}/in.csv/"):
+        found = [(r.file_name, r.dataset_type, r.report_month, r.size_bytes) for r in reports.discover_files(spark, root).collect()]
+        assert sorted(found) == [("a.csv", "a", "2026-01", 10), ("b.csv", "b", "2026-01", 5), ("c.csv", "c", None, 5), ("e.csv", "e", None, 5)]
+
+
 def test_typed_tables_and_ordered_output(spark, tmp_path):
     root = folder(tmp_path / "in")
     tables = reports.process_reports(reports.read_text_files(spark, root))
