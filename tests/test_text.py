@@ -155,6 +155,41 @@ def test_serials_are_judged_as_if_read_in_order(spark):
     assert got["f0"] == [10, 11, 12, 13]
 
 
+def test_serials_of_many_page_blocks_need_few_passes(spark, monkeypatch):
+    """Blocks that begin with false serials, and blocks behind a jump that nothing bridges."""
+    import random
+
+    rng = random.Random(5)
+    cases = []
+    for _ in range(3):
+        case, serial = [], 1
+        for _ in range(40):
+            case += [rng.choice([serial + 150_000, 9000 + rng.randint(0, 50)]) for _ in range(rng.choice([0, 1, 4, 9]))]
+            case.append(serial)
+            serial += 1
+        cases.append(case)
+    rows = [(f"f{n}", i * lines.PAGES_PER_BLOCK // 6, i % 2, f"{s} Bihar 10.5 60") for n, case in enumerate(cases) for i, s in enumerate(case)]
+    frame = lines.classified(spark.createDataFrame(rows, "file string, page long, position int, line string"))
+    got = {}
+    for r in records.accepted_serials(frame).orderBy("file", "page", "position").collect():
+        got.setdefault(r.file, []).append(r.serial)
+    assert got == {f"f{n}": sequential(case) for n, case in enumerate(cases)}
+
+    # Nothing bridges the jump: each of the lines behind it is refused by the line before the jump.
+    case, tables = [1, 2] + list(range(90_000, 90_060)) + [3], []
+
+    def counted(df, name, *partition_by):
+        tables.append(name)
+        return written(df, name, *partition_by)
+
+    written = records.written
+    monkeypatch.setattr(records, "written", counted)
+    rows = [("f", i // 25 * lines.PAGES_PER_BLOCK, i, f"{s} Bihar 10.5 60") for i, s in enumerate(case)]
+    frame = lines.classified(spark.createDataFrame(rows, "file string, page long, position int, line string"))
+    assert sorted(r.serial for r in records.accepted_serials(frame).collect()) == [1, 2, 3]
+    assert len(tables) < 10
+
+
 def test_older_layout_prints_the_start_on_the_serial_line(spark):
     text = "Some road project\n1 (Agency One) Bihar 10/2018 1046.48 94\n(100.50)\n2 Assam, Bihar 01/2020 5 60"
     pages = spark.createDataFrame([("f", 1, text)], "file string, page long, text string")
