@@ -19,6 +19,7 @@ from ..functions.lexicon import (
     TOTAL_LINE,
 )
 from ..functions.text import any_of, has_trailing_numbers, strip
+from ..session import written
 from .prefix import carried_forward
 
 PAGES_PER_BLOCK = 1024
@@ -128,9 +129,10 @@ def with_headers(lines: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE) -
     other than a parenthetical one.
 
     Headers carry over page ends. Pages and blocks of pages are summarised first, so a
-    file that holds most of the lines is not one task.
+    file that holds most of the lines is not one task. The lines are classified and written
+    once for that.
     """
-    rows = classified(lines, boilerplate).where(F.col("line_class") != "boilerplate").withColumns(
+    rows = written(classified(lines, boilerplate), "classified-lines").where(F.col("line_class") != "boilerplate").withColumns(
         {
             "sector_line": F.when(F.col("line_class") == "sector", F.col("line")),
             "ministry_line": F.when(F.col("line_class") == "ministry", F.col("line")),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join that matches null keys with null keys."""
     renamed = right.select(
         *[F.col(k).alias(f"r__{k}") for k in keys], *[c for c in right.columns if c not in keys]
@@ -73,24 +73,24 @@ def running_totals(
         if offsets is None:
             offsets = summary.withColumnsRenamed({f"{v}__here": f"{v}__off" for v in values})
         else:
-            joined = _null_safe_join(summary, offsets, parent)
+            joined = null_safe_join(summary, offsets, parent)
             offsets = joined.select(
                 *group, *level,
                 *[(F.col(f"{v}__here") + F.col(f"{v}__off")).alias(f"{v}__off") for v in values],
             )
+    # The offset of a block goes before its rows, so that these are moved and sorted once.
     inside = (
         Window.partitionBy(*group, *blocks)
-        .orderBy(*[direction(c) for c in order])
+        .orderBy("is__row", *[direction(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = rows.withColumns(
-        {f"{v}__in": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}
-    )
-    joined = _null_safe_join(local, offsets, group + blocks)
-    return joined.select(
-        *rows.columns,
-        *[(F.col(f"{v}__in") + F.col(f"{v}__off")).alias(f"{v}_before") for v in values],
+    both = rows.withColumn("is__row", F.lit(True)).unionByName(
+        offsets.withColumn("is__row", F.lit(False)), allowMissingColumns=True
     )
+    before = {
+        f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.first(f"{v}__off").over(inside) for v in values
+    }
+    return both.withColumns(before).where("is__row").select(*rows.columns, *before)
 
 
 def carried_forward(
@@ -123,24 +123,24 @@ def carried_forward(
         if carried is None:
             carried = summary.withColumnsRenamed({f"{n}__here": f"{n}__off" for n in values})
         else:
-            joined = _null_safe_join(summary, carried, parent)
+            joined = null_safe_join(summary, carried, parent)
             carried = joined.select(
                 *group, *level,
                 *[F.coalesce(f"{n}__here", f"{n}__off").alias(f"{n}__off") for n in values],
             )
+    # What is carried into a block goes before its rows, so that these are moved and sorted once.
     inside = (
         Window.partitionBy(*group, *blocks)
-        .orderBy(*order)
+        .orderBy("is__row", *order)
         .rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     )
-    local = rows.withColumns(
-        {f"{n}__in": F.last(s, ignorenulls=True).over(inside) for n, s in values.items()}
-    )
-    joined = _null_safe_join(local, carried, group + blocks)
-    return joined.select(
-        *rows.columns,
-        *[F.coalesce(f"{n}__in", f"{n}__off").alias(n) for n in values],
+    both = rows.withColumn("is__row", F.lit(True)).unionByName(
+        carried.withColumn("is__row", F.lit(False)), allowMissingColumns=True
     )
+    found = {
+        n: F.last(F.coalesce(f"{n}__off", s), ignorenulls=True).over(inside) for n, s in values.items()
+    }
+    return both.withColumns(found).where("is__row").select(*rows.columns, *found)
 
 
 def value_blocks(value: str, low: str, high: str, fanout: int = 4096) -> dict:
