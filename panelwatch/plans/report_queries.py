@@ -219,17 +219,11 @@ def period_routing(spark, folder):
     named = rows.withColumn(
         "source_file", F.when(quarter, F.concat(F.lit("QPISR_"), "source_file")).otherwise(F.col("source_file"))
     )
-    monthly, quarterly = reports.split_periods(
-        named, ident.report_layout(F.col("report_month"), F.col("source_file"))
+    tagged = reports.with_period(named, ident.report_layout(F.col("report_month"), F.col("source_file")))
+    return tagged.groupBy("period").agg(
+        F.count("*").alias("rows"), F.min("report_month").alias("first_month"), F.max("report_month").alias("last_month")
     )
 
-    def summary(part, name):
-        return part.agg(
-            F.count("*").alias("rows"), F.min("report_month").alias("first_month"), F.max("report_month").alias("last_month")
-        ).withColumn("period", F.lit(name))
-
-    return summary(monthly, "monthly").unionByName(summary(quarterly, "quarterly"))
-
 
 @query(
     "fixed_precision_output",

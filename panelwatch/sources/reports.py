@@ -201,11 +201,15 @@ def read_reports(spark: SparkSession, folder: str, tables: dict[str, DataFrame])
     return {name: read_months(spark, f"{folder}/{name}", table.schema, "csv", header="true") for name, table in tables.items()}
 
 
+def with_period(panel: DataFrame, layout: Column) -> DataFrame:
+    """The rows with their ``period``, monthly or quarterly."""
+    return panel.withColumn("period", F.when(layout == "QUARTERLY", "quarterly").when(layout.isNotNull(), "monthly"))
+
+
 def split_periods(panel: DataFrame, layout: Column) -> tuple[DataFrame, DataFrame]:
     """Monthly rows and quarterly rows, which are never mixed."""
-    tagged = panel.withColumn("layout", layout)
-    quarterly = F.col("layout") == "QUARTERLY"
-    return tagged.where(~quarterly).drop("layout"), tagged.where(quarterly).drop("layout")
+    quarterly = layout == "QUARTERLY"
+    return panel.where(~quarterly), panel.where(quarterly)
 
 
 def write_periods(panel: DataFrame, layout: Column, folder: str) -> dict[str, DataFrame]:
