@@ -68,9 +68,18 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stored_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """The prediction table written once, for queries that scan it several times."""
-    return written(predictions(spark, folder), "predictions")
+def stored_predictions(spark: SparkSession, folder: str, model: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The prediction table written once, for queries that scan it several times.
+
+    Of one model and with the key, scores and ``columns`` only, if these are named: other features
+    are neither worked out nor written.
+    """
+    rows = predictions(spark, folder)
+    if model:
+        rows = rows.where(F.col("model") == model)
+    if columns:
+        rows = rows.select("identity_key", "prediction_month", TARGET, "model", "probability", "fold", *columns)
+    return written(rows, "predictions")
 
 
 def baseline_predictions(spark: SparkSession, folder: str) -> DataFrame:

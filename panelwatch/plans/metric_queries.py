@@ -21,6 +21,10 @@ from .sqltext import FEATURES, LABELS, PRED, SUPERVISED, SUPPLIER, ratio, ratio0
 P = "probability"
 
 
+#: Features that slices are made of.
+_SLICE_COLUMNS = ("sector", "state", "ministry", "agency", "progress_current", "project_age_months", "expenditure_to_original_cost")
+
+
 def _test_part(rows):
     """Rows of the entities and months that an entity-disjoint evaluation tests on."""
     return with_disjoint_split(rows, DISJOINT).where(F.col("part") == "test")
@@ -354,13 +358,14 @@ def slice_calibration(spark, folder):
 
 @query("entity_disjoint_calibration", _summary_sql("model", f"SELECT * FROM held WHERE model = '{BASELINE}'", _DISJOINT_SQL.replace("FROM predictions", "FROM __ALL__")))
 def entity_disjoint_calibration(spark, folder):
-    tagged = _test_part(stored_predictions(spark, folder).where(F.col("model") == BASELINE))
+    rows = _test_part(baseline_predictions(spark, folder)).select("model", Y, P)
+    tagged = written(rows, "predictions")
     return metrics.rounded(calibration.calibration_summary(tagged, Y, P, ["model"], diagnostic=False))
 
 
 @query("calibration_verdict")
 def calibration_verdict(spark, folder):
-    rows = stored_predictions(spark, folder).where(F.col("model") == BASELINE)
+    rows = stored_predictions(spark, folder, BASELINE, _SLICE_COLUMNS)
     disjoint = _test_part(rows)
     return calibration.calibration_verdict(
         calibration.calibration_summary(rows, Y, P, []),
@@ -678,9 +683,9 @@ def slice_win_counts(spark, folder):
     ),
 )
 def slice_robustness_verdict(spark, folder):
-    rows = stored_predictions(spark, folder)
+    rows = stored_predictions(spark, folder, columns=_SLICE_COLUMNS)
     return slices.robustness_verdict(
-        _compared(spark, folder), slices.error_totals(rows, Y, P), slices.IMPORTANT_SLICES, BASELINE, CHALLENGER
+        slices.slice_comparison(rows, Y, P, BASELINE, CHALLENGER), slices.error_totals(rows, Y, P), slices.IMPORTANT_SLICES, BASELINE, CHALLENGER
     )
 
 
