@@ -17,7 +17,7 @@ from ..functions.months import month_number, parse_month_date
 from ..functions.numbers import safe_ratio
 from ..session import complete_folders
 from ..sources.panel import checked_unique, traceable
-from .features import COST_TOLERANCE, KEYS, USABLE, cost_differs
+from .features import CATEGORICAL, COST_TOLERANCE, KEYS, USABLE, cost_differs
 
 #: Calendar months whose measures the next feature row can look back to.
 LOOKBACK = 3
@@ -27,6 +27,11 @@ STATE = {
     "cost_changes": "long", "last_cost_pct": "double", "last_cost_month": "int", "end_changes": "long",
     "last_end_month": "int", "last_moved_month": "int",
 }
+#: Panel columns that folding reads.
+PANEL = (
+    "project_code", "identity_key", "report_month", "month_number", "traceable", "physical_progress", "expenditure",
+    "original_cost", "revised_cost", "effective_cost", "effective_end", "start_date", "date_of_approval", *CATEGORICAL,
+)
 _SCHEMA = ", ".join(f"{name} {kind}" for name, kind in STATE.items())
 
 

@@ -173,12 +173,13 @@ _LAST_MONTHS = f"(SELECT DISTINCT report_month FROM typed ORDER BY 1 DESC LIMIT
 )
 def arriving_month_features(spark, folder):
     """Features of the last months, folded one by one into the state that all earlier months left."""
-    panel = written(customer_panel(spark, folder), "panel")
+    panel = written(customer_panel(spark, folder).select(*feature_state.PANEL), "panel")
     latest = panel.select("report_month").distinct().orderBy(F.desc("report_month")).limit(_ARRIVING + 1).collect()
     before, *arriving = sorted(r[0] for r in latest)
-    state, parts = feature_state.state_of(panel, before), []
+    recent = written(panel.where(F.col("report_month") > before), "arriving")
+    state, parts = written(feature_state.state_of(panel, before), "feature-state"), []
     for month in arriving:
-        found, after = feature_state.fold(state, panel.where(F.col("report_month") == month), month)
+        found, after = feature_state.fold(state, recent.where(F.col("report_month") == month), month)
         state = written(after, "feature-state")
         parts.append(_rounded_features(found))
     return reduce(DataFrame.unionByName, parts)
